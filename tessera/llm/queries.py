@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.llm import quality
+from tessera.llm.hilbert import op5_hilbert_shards
 from tessera.llm.packing import op10_best_fit
+from tessera.llm.quality import op1_rule_ledger
 from tessera.llm.token_output import op2_pfor_tokens
 
 QUERIES = {
+    "op1_rule_ledger": op1_rule_ledger,
     "op2_pfor_tokens": op2_pfor_tokens,
+    "op5_hilbert_shards": op5_hilbert_shards,
     "op10_best_fit": op10_best_fit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_rule_ledger": quality.ORACLE,
+}
