@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality
+from tessera.llm import minhash, quality
 from tessera.llm.hilbert import op5_hilbert_shards
+from tessera.llm.minhash import op4_coordinate_join
 from tessera.llm.packing import op10_best_fit
 from tessera.llm.quality import op1_rule_ledger
+from tessera.llm.secrets import op6_guess_cost_secrets
 from tessera.llm.token_output import op2_pfor_tokens
 
 QUERIES = {
     "op1_rule_ledger": op1_rule_ledger,
     "op2_pfor_tokens": op2_pfor_tokens,
+    "op4_coordinate_join": op4_coordinate_join,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_guess_cost_secrets": op6_guess_cost_secrets,
     "op10_best_fit": op10_best_fit,
 }
 ORACLES: dict[str, str] = {
     "op1_rule_ledger": quality.ORACLE,
+    "op4_coordinate_join": minhash.ORACLE,
 }
