@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import minhash, quality
+from tessera.llm import embedding_dedup, minhash, quality
+from tessera.llm.embedding_dedup import op7_spherical_cells
 from tessera.llm.hilbert import op5_hilbert_shards
 from tessera.llm.minhash import op4_coordinate_join
 from tessera.llm.packing import op10_best_fit
@@ -16,9 +17,11 @@ QUERIES = {
     "op4_coordinate_join": op4_coordinate_join,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_guess_cost_secrets": op6_guess_cost_secrets,
+    "op7_spherical_cells": op7_spherical_cells,
     "op10_best_fit": op10_best_fit,
 }
 ORACLES: dict[str, str] = {
     "op1_rule_ledger": quality.ORACLE,
     "op4_coordinate_join": minhash.ORACLE,
+    "op7_spherical_cells": embedding_dedup.ORACLE,
 }
