@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, minhash, quality
+from tessera.llm import embedding_dedup, minhash, mixing, quality
 from tessera.llm.embedding_dedup import op7_spherical_cells
 from tessera.llm.hilbert import op5_hilbert_shards
 from tessera.llm.minhash import op4_coordinate_join
+from tessera.llm.mixing import op3_temperature_mix
 from tessera.llm.packing import op10_best_fit
 from tessera.llm.quality import op1_rule_ledger
 from tessera.llm.secrets import op6_guess_cost_secrets
@@ -14,6 +15,7 @@ from tessera.llm.token_output import op2_pfor_tokens
 QUERIES = {
     "op1_rule_ledger": op1_rule_ledger,
     "op2_pfor_tokens": op2_pfor_tokens,
+    "op3_temperature_mix": op3_temperature_mix,
     "op4_coordinate_join": op4_coordinate_join,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_guess_cost_secrets": op6_guess_cost_secrets,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_rule_ledger": quality.ORACLE,
+    "op3_temperature_mix": mixing.ORACLE,
     "op4_coordinate_join": minhash.ORACLE,
     "op7_spherical_cells": embedding_dedup.ORACLE,
 }
