@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import sys
+from itertools import filterfalse
 
 import numpy as np
 
@@ -28,11 +29,11 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
 class UnitEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids as bytes.
 
-    Memory is bounded: units live in two generations of at most ``capacity``
+    Memory is bounded: units live in two generations of about ``capacity``
     entries each, the older being dropped when the newer is full.
     """
 
-    def __init__(self, path: str, capacity: int = 400_000) -> None:
+    def __init__(self, path: str, capacity: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,13 +65,18 @@ class UnitEncoder:
         self.new.update(zip(odd, self.whole([" " + u for u in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; equal texts are encoded once."""
+        if len(distinct := list(dict.fromkeys(texts))) < len(texts):
+            return list(map(dict(zip(distinct, self.encode(distinct))).__getitem__, texts))
         split = [t.split(" ") for t in texts]
         heads = [u.pop(0) for u in split]
-        needed = set().union(*split)
-        if len(self.new) + len(needed) > self.capacity:
+        if len(self.new) > self.capacity:
             self.old, self.new = self.new, {}
+        unknown: set[str] = set()
+        for units in split:
+            unknown.update(filterfalse(self.new.__contains__, units))
         missing, odd = [], set()
-        for u in needed.difference(self.new):
+        for u in unknown:
             if (known := self.old.get(u)) is not None:
                 self.new[u] = known
             elif not u or u[0].isspace() or u[0] in "\x1c\x1d\x1e\x1f\x85":
@@ -94,7 +100,7 @@ def _encoder(path: str, capacity: int) -> UnitEncoder:
     return UnitEncoder(path, capacity)
 
 
-def encoder(path: str, capacity: int = 400_000) -> UnitEncoder:
+def encoder(path: str, capacity: int = 800_000) -> UnitEncoder:
     """One encoder a worker process, kept between its tasks.
 
     It is looked up in the imported module, not in a pickled copy of it.
