@@ -29,26 +29,26 @@ def bit_widths(values: np.ndarray) -> np.ndarray:
 def pack(lanes: np.ndarray, width: int) -> np.ndarray:
     """lanes: (block, m) values below 2**width; gives (m, words) u32."""
     block, m = lanes.shape
-    words = np.zeros((-(-block * width // 32), m), np.uint64)
+    words = np.zeros((-(-block * width // 32), m), np.uint32)
     for j in range(block if width else 0):
         word, shift = divmod(j * width, 32)
-        words[word] |= lanes[j] << np.uint64(shift)
+        words[word] |= lanes[j] << np.uint32(shift)
         if shift + width > 32:
-            words[word + 1] |= lanes[j] >> np.uint64(32 - shift)
-    return (words & np.uint64(0xFFFFFFFF)).astype("<u4").T
+            words[word + 1] |= lanes[j] >> np.uint32(32 - shift)
+    return words.astype("<u4").T
 
 
 def unpack(words: np.ndarray, width: int, block: int) -> np.ndarray:
     """words: (m, words) u32; gives (m, block) u32."""
     m = len(words)
     out = np.zeros((block, m), np.uint32)
-    wide = np.ascontiguousarray(words.T).astype(np.uint64)
-    mask = np.uint64((1 << width) - 1)
+    lanes = np.ascontiguousarray(words.T).astype(np.uint32)
+    mask = np.uint32((1 << width) - 1)
     for j in range(block if width else 0):
         word, shift = divmod(j * width, 32)
-        value = wide[word] >> np.uint64(shift)
+        value = lanes[word] >> np.uint32(shift)
         if shift + width > 32:
-            value = value | wide[word + 1] << np.uint64(32 - shift)
+            value = value | lanes[word + 1] << np.uint32(32 - shift)
         out[j] = value & mask
     return out.T
 
@@ -65,7 +65,7 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     delta = padded - low[:, None]
     at = min(block - 1, max(0, int(np.ceil(percentile / 100 * block)) - 1))
     widths = bit_widths(np.partition(delta, at, axis=1)[:, at]) if blocks else np.zeros(0, np.uint8)
-    over = delta >= (np.uint64(1) << widths.astype(np.uint64))[:, None]
+    over = delta > ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     rows, places = np.nonzero(over)
     values = delta[rows, places]
     delta[over] = 0
@@ -74,7 +74,7 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     payload = np.zeros(int(size.sum()), "<u4")
     for width in np.unique(widths):
         if which := list(np.flatnonzero(widths == width)) if width else []:
-            packed = pack(np.ascontiguousarray(delta[which].T).astype(np.uint64), int(width))
+            packed = pack(np.ascontiguousarray(delta[which].T), int(width))
             payload[(starts[which][:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
     first = np.searchsorted(rows, np.arange(blocks))
     return b"".join((
