@@ -8,7 +8,7 @@ shows to go with toxicity.  One weight vector serves all ordered thresholds,
 P(grade > k) = sigmoid(w.x - t_k); the output is the expected grade.
 
 ``toxic`` is P(grade > 0) at or over a cut chosen on every fifth sampled document (the greatest
-Youden's J, midway between the neighbouring scores).
+Youden's J, midway between the neighbouring scores, kept within 0.3 and 0.9).
 
 Cases: null or empty text has no features and the model's base severity; null doc_id passes through;
 repeated rows are judged alike; without labels of both kinds all get severity 0 and toxic false; labels of
@@ -124,7 +124,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, chosen: int = CHOSEN) -> Sever
         values = np.unique(p)
         youden = [(p[truth] >= v).mean() - (p[~truth] >= v).mean() for v in values]
         best = int(np.argmax(youden))
-        cut = float((values[best] + (values[best - 1] if best else 0)) / 2)
+        cut = float(np.clip((values[best] + (values[best - 1] if best else 0)) / 2, 0.3, 0.9))  # a small fold says little
     return SeverityModel(weights, cuts, cut)
 
 
