@@ -248,6 +248,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its component's least, all columns as they were; rows without doc_id stay."""
+    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(cut(dropped), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+
+
 def op4_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

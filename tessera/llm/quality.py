@@ -138,6 +138,19 @@ def ablations(rows: DataFrame, policies: dict[str, int] | None = None) -> DataFr
     )
 
 
+def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of docs that the policy keeps, all columns as they were; texts don't move."""
+
+    def run(column: pa.Array) -> pa.Array:
+        found = measure(strings(column).to_pylist())
+        return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(MEASURES))], names=list(MEASURES))
+
+    measured = F.arrow_udf(run, "struct<" + ",".join(f"{m}: bigint" for m in MEASURES) + ">")(F.col("text").cast("string"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), measured.alias("m")).select("row", "m.*")
+    chosen = [rule for name, rule in RULES if (BASE | POLICIES[version]) & BIT[name]]
+    return rows.where(" AND ".join(f"NOT ({rule})" for rule in chosen)).select("row.*")
+
+
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 

@@ -169,12 +169,10 @@ def scan_documents(docs: DataFrame, *, least_log10: float = LEAST_LOG10) -> Data
 
 def redacted(text: Column, *, least_log10: float = LEAST_LOG10, mark: str = "[SECRET]") -> Column:
     """The text column without its secrets; null stays null."""
-    from pyspark.sql.functions import arrow_udf
-
     def run(column: pa.Array) -> pa.Array:
         return pa.array([t if t is None or not (spans := scan(t, least_log10)) else redact(t, spans, mark) for t in column.to_pylist()], pa.string())
 
-    return arrow_udf(run, "string")(text)
+    return F.arrow_udf(run, "string")(text.cast("string"))
 
 
 def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
