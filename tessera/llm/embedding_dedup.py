@@ -2,24 +2,27 @@
 
 1. Equal vectors form a class, which the least vec_id stands for.
 2. Spherical k-means is fitted on a bounded sample (``SAMPLE`` classes by hash of
-   id, at most ``MOST_CELLS`` cells); every class is assigned to its cell.  A class also probes each
-   earlier cell that a partner may lie in: partners are at most
-   sqrt(2 - 2 * ``LEAST``) apart, so a cell behind a farther bisector has none.  No link is lost to cells.
-3. Cells are divided by hash into blocks of about ``BLOCK`` rows; block pairs compute all
-   cosines and report sums of links and a spanning forest, never the pairs.
+   id, at most ``MOST_CELLS`` cells); every class is assigned to its home cell.  A class also probes each
+   earlier cell that a partner may have for its home: partners are at most
+   sqrt(2 - 2 * ``LEAST``) apart, so a cell behind a farther bisector holds none.  No link is lost to
+   cells; how many cells are probed depends on how well the vectors cluster.
+3. The home members of a cell are compared with each other and with the cell's probes, in
+   blocks of about ``BLOCK`` rows by hash.  A block pair computes all its cosines and reports sums of
+   links and a spanning forest, never the pairs.
 4. Components come from the forests; one vector of each is kept.
 
 Cosines are in double precision over all rows, whatever their labels.  Cases: vectors that are null, empty,
 zero or hold null or non-finite components link with nothing, are their own component and kept;
 vectors of different lengths don't link; null vec_id links with nothing, has a null component and is kept;
-rows that repeat a vec_id share a node, and equal rows count as links of each other; an empty table gives no rows; further columns are ignored.
+rows that repeat a vec_id share a node, and equal rows count as links of each other; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, map_arrow, spread
@@ -27,9 +30,10 @@ from tessera.llm.graph import components
 
 LEAST = 0.95
 SAMPLE = 20_000
-ROWS_A_CELL = 512
+ROWS_A_CELL = 4096
 MOST_CELLS = 4096
-BLOCK = 256
+BLOCK = 2048
+TILE = 256
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -52,14 +56,21 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def unit(raw: bytes | list[bytes], size: int) -> np.ndarray:
-    rows = np.frombuffer(raw if isinstance(raw, bytes) else b"".join(raw), "<f8").reshape(-1, size)
+def unit(raw: list[bytes], size: int) -> np.ndarray:
+    """Unit rows in double precision from components stored as doubles, or as floats where that is exact."""
+    kinds = [x if len(x) == 8 * size else np.frombuffer(x, "<f4").astype("<f8").tobytes() for x in raw] if any(len(x) == 8 * size for x in raw) else None
+    rows = np.frombuffer(b"".join(raw), "<f4").astype(np.float64).reshape(-1, size) if kinds is None else np.frombuffer(b"".join(kinds), "<f8").reshape(-1, size)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def narrow(x: np.ndarray) -> bool:
+    with np.errstate(over="ignore"):
+        return bool((x.astype(np.float32).astype(np.float64) == x).all())
+
+
 def describe(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim and raw (the components as doubles; both null for vectors that can't link)."""
+    """vec_id, dim and raw (the components' bytes; both null for vectors that can't link)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -68,7 +79,7 @@ def describe(vectors: DataFrame) -> DataFrame:
                 x = np.array(v.as_py() if v.is_valid else [], np.float64)  # null components become nan
                 good = len(x) > 0 and np.isfinite(x).all() and x.any()
                 dims.append(len(x) if good else None)
-                raws.append(x.astype("<f8").tobytes() if good else None)
+                raws.append((x.astype("<f4") if good and narrow(x) else x.astype("<f8")).tobytes() if good else None)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "dim", "raw"])
 
         return step
@@ -77,7 +88,7 @@ def describe(vectors: DataFrame) -> DataFrame:
 
 
 def assign(reps: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
-    """dim, cell, probe, node, size, raw: each class in its cell, and as a probe in earlier ones."""
+    """node, n, dim, raw, home, probes: the cell of each class and the earlier cells it probes."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
     gaps = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))
     size = centres.shape[1]
@@ -85,49 +96,67 @@ def assign(reps: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             dims = batch.column("dim").to_numpy()
-            rows, cells, probes = [], [], []
-            for k in np.flatnonzero(dims != size):  # other lengths: one cell each, divided in blocks as any
-                rows.append(int(k))
-                cells.append(-int(dims[k]))
-                probes.append(False)
+            homes = -dims.astype(np.int32)  # other lengths: one cell each, divided in blocks as any
+            probes: list[list[int]] = [[] for _ in dims]
             own = np.flatnonzero(dims == size)
             if len(own):
                 sims = unit(batch.column("raw").take(pa.array(own)).to_pylist(), size) @ centres.T
                 home = sims.argmax(axis=1)
+                homes[own] = home
                 near = (sims[np.arange(len(own)), home][:, None] - sims) <= reach * gaps[home] + 1e-9
-                near &= np.arange(len(centres)) <= home[:, None]
-                at, cell = np.nonzero(near)
-                rows += own[at].tolist()
-                cells += cell.tolist()
-                probes += (cell != home[at]).tolist()
-            picked = batch.select(["node", "n", "dim", "raw"]).take(pa.array(rows, pa.int64()))
-            return pa.RecordBatch.from_arrays([*picked.columns, pa.array(cells, pa.int32()), pa.array(probes, pa.bool_())], names=["node", "n", "dim", "raw", "cell", "probe"])
+                near &= np.arange(len(centres)) < home[:, None]
+                for k, row in zip(own.tolist(), near):
+                    probes[k] = np.flatnonzero(row).tolist()
+            columns = [batch.column(c) for c in ("node", "n", "dim", "raw")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(homes), pa.array(probes, pa.list_(pa.int32()))], names=["node", "n", "dim", "raw", "home", "probes"])
 
         return step
 
-    return map_arrow(reps, make, "node long, n long, dim int, raw binary, cell int, probe boolean")
+    return map_arrow(reps, make, "node long, n long, dim int, raw binary, home int, probes array<int>")
+
+
+def meetings(placed: DataFrame) -> DataFrame:
+    """cell, kind, i, j, side and the class: every block pair that must be compared."""
+    homes = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("hb"))
+    probed = placed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("pb"))
+    sizes = cut(homes.join(probed, "cell", "left").select("cell", "hb", F.coalesce("pb", F.lit(0).cast("long")).alias("pb")))
+    own = placed.withColumnRenamed("home", "cell").join(sizes, "cell").withColumn("b", spread(F.col("node"), F.col("hb")))
+
+    def upto(n: str) -> Column:
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n) - 1, F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+
+    names = ["cell", "kind", "i", "j", "side", "node", "n", "dim", "raw"]
+    inside = own.withColumn("o", F.explode(upto("hb"))).withColumns({"kind": F.lit("h"), "i": F.least("b", "o"), "j": F.greatest("b", "o"), "side": (F.col("b") > F.col("o")).cast("int")}).select(*names)
+    facing = own.withColumn("o", F.explode(upto("pb"))).withColumns({"kind": F.lit("p"), "i": F.col("b"), "j": F.col("o"), "side": F.lit(0)}).select(*names)
+    guests = placed.withColumn("cell", F.explode("probes")).join(sizes, "cell").withColumn("b", spread(F.col("node"), F.col("pb"))).withColumn("o", F.explode(upto("hb")))
+    guests = guests.withColumns({"kind": F.lit("p"), "i": F.col("o"), "j": F.col("b"), "side": F.lit(1)}).select(*names)
+    return inside.unionByName(facing).unionByName(guests)
 
 
 def compare(group: pa.Table, least: float = LEAST) -> pa.Table:
     """Links of one block pair: for each linked node its sum of links and its tree's root."""
     x = unit(group["raw"].to_pylist(), group["dim"][0].as_py())
-    block, probe, n = group["block"].to_numpy(), group["probe"].to_numpy(zero_copy_only=False), group["n"].to_numpy()
-    hit = x @ x.T >= least
-    hit &= ~(probe[:, None] & probe)
-    if len(np.unique(block)) > 1:
-        hit &= block[:, None] != block
+    side, n, nodes = group["side"].to_numpy(), group["n"].to_numpy(), group["node"].to_numpy()
+    whole = len(np.unique(side)) == 1 and group["kind"][0].as_py() == "h"
+    hit = np.zeros((len(x), len(x)), bool)
+    tiles = range(0, len(x), TILE)
+    for a in tiles:
+        hit[a : a + TILE] = x[a : a + TILE] @ x.T >= least
+        if not whole:
+            hit[a : a + TILE] &= side[a : a + TILE, None] != side
     np.fill_diagonal(hit, False)
     linked = np.flatnonzero(hit.any(axis=1))
-    root = np.arange(len(x))
+    some = hit[np.ix_(linked, linked)]
+    root = np.arange(len(linked))
     changed = len(linked) > 0
-    while changed:  # least index reachable
-        least_near = np.where(hit, root, len(x)).min(axis=1)
-        new = np.minimum(root, least_near)
+    while changed:  # least place reachable
+        near = np.concatenate([np.where(some[a : a + TILE], root, len(linked)).min(axis=1) for a in range(0, len(linked), TILE)])
+        new = np.minimum(root, near)
         new = np.minimum(new, new[new])
         changed = bool((new != root).any())
         root = new
-    nodes = group["node"].to_numpy()
-    return pa.table({"node": nodes[linked], "links": (hit @ n)[linked].astype(np.int64), "root": nodes[root[linked]]})
+    sums = np.concatenate([some[a : a + TILE] @ n[linked] for a in range(0, len(linked), TILE)]) if len(linked) else np.zeros(0, np.int64)
+    return pa.table({"node": nodes[linked], "links": sums.astype(np.int64), "root": nodes[linked[root]]})
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = LEAST, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
@@ -144,15 +173,10 @@ def near_duplicates(vectors: DataFrame, *, least: float = LEAST, rows_a_cell: in
         sample = unit([bytes(r) for r in some], usual)
         centres = spherical_kmeans(sample, max(1, min(MOST_CELLS, len(sample), -(-count // rows_a_cell))))
         placed = cut(assign(reps, centres, least))
-        sizes = cut(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
-        rows = placed.join(sizes, "cell").withColumn("block", spread(F.col("node"), F.col("blocks")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        met = rows.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "dim", "raw", "probe", "block")
-
         def run(key: tuple, group: pa.Table) -> pa.Table:
             return compare(group, least)
 
-        found = cut(met.groupBy("cell", "i", "j").applyInArrow(run, "node long, links long, root long"))
+        found = cut(meetings(placed).groupBy("cell", "kind", "i", "j").applyInArrow(run, "node long, links long, root long"))
         linked = cut(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         sums = cut(found.groupBy("node").agg(F.sum("links").alias("links")))
         ids = ids.join(sums, "node", "left").join(linked, "node", "left")
