@@ -1,6 +1,672 @@
-"""All queries of the engine, with the SQL that DuckDB runs beside them."""
+"""All queries of the engine over the shared tables, with the SQL that DuckDB runs beside them.
+
+Where a reference operator needs input that the tables don't have (statute text, versions,
+labels in answers), it is derived from them by the same rule on both sides.  Benchmark texts are the
+questions; embedding vec_id = doc_id and vec_id = item_id are conventions of these queries.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import fixed
+from tessera.functions import text as T
+from tessera.operators import answer, chunking, conversation, dense, evaluate, fusion, identity, lexical, quality, scope, store
+from tessera.params import DEFAULTS
+from tessera.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+# --- SQL fragments -----------------------------------------------------------------------------
+
+_FOLD = f"translate({{}}, '{fixed.FOLD_FROM}', '{fixed.FOLD_TO}')"
+_STOP = ", ".join(f"'{w}'" for w in sorted(fixed.STOP_WORDS))
+_TOKENS = f"list_filter(regexp_extract_all(lower({_FOLD}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+'), lambda w: w <> '')"
+_LOWER = "lower(translate({}, 'Iİ', 'ıi'))"
+
+
+def _tokens(c: str) -> str:
+    return _TOKENS.format(c)
+
+
+def _words(c: str) -> str:
+    return _WORDS.format(c)
+
+
+_BM25 = f"""
+d AS (SELECT doc_id AS id, text, {_tokens('text')} AS toks FROM documents),
+p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM d) GROUP BY ALL),
+c AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+s AS (SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, c GROUP BY term, n),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+b AS (
+  SELECT query_id, p.id, round(sum(times * idf * tf * ({DEFAULTS.bm25_k1} + 1) / (tf + {DEFAULTS.bm25_k1} * (1 - {DEFAULTS.bm25_b} + {DEFAULTS.bm25_b} * len(toks) / avgdl))), 9) AS score
+  FROM q JOIN s USING (term) JOIN p USING (term) JOIN d ON d.id = p.id, c GROUP BY query_id, p.id
+), lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)
+"""
+_DENSE = """
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+cs AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS id, round(coalesce(CASE WHEN isnan(list_cosine_similarity(q.v, x.v)) THEN 0 ELSE list_cosine_similarity(q.v, x.v) END, 0), 9) AS score
+  FROM e q JOIN e x ON true WHERE q.vec_id IN ({})
+), den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs)
+"""
+_FUSED = f"""
+{_BM25}, {_DENSE.format('SELECT item_id FROM benchmark')},
+every AS (SELECT query_id, id, 'd' AS src, rank, score FROM den WHERE rank <= {DEFAULTS.fusion_depth} UNION ALL SELECT query_id, id, 'l', rank, score FROM lex WHERE rank <= {DEFAULTS.fusion_depth}),
+f AS (
+  SELECT query_id, id, round(sum(1.0::DOUBLE / ({DEFAULTS.rrf_k} + rank)), 12) AS score, max(CASE WHEN src = 'd' THEN score END) AS dense_score, max(CASE WHEN src = 'd' THEN rank END) AS dense_rank,
+    max(CASE WHEN src = 'l' THEN score END) AS lexical_score, max(CASE WHEN src = 'l' THEN rank END) AS lexical_rank FROM every GROUP BY query_id, id
+), fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= {DEFAULTS.top_k})
+"""
+_JUDGED = f"""
+{_FUSED},
+qt AS (SELECT DISTINCT query_id, term FROM q),
+w AS (SELECT query_id, term, coalesce(idf, ln(1 + (n + 0.5) / 0.5)) AS w FROM qt LEFT JOIN s USING (term), c),
+seen AS (SELECT DISTINCT query_id, unnest(toks) AS term FROM fused JOIN d USING (id)),
+cov AS (SELECT w.query_id, sum(CASE WHEN seen.term IS NOT NULL THEN w.w ELSE 0 END) / sum(w.w) AS coverage FROM w LEFT JOIN seen USING (query_id, term) GROUP BY w.query_id),
+top AS (SELECT query_id, coalesce(max(CASE WHEN rank = 1 THEN dense_score END), max(coalesce(dense_score, 0))) AS dense_top FROM fused GROUP BY query_id),
+judged AS (
+  SELECT item_id AS query_id, coalesce(dense_top, 0) AS dense_top, coalesce(coverage, 0) AS coverage, round(coalesce(dense_top, 0) * coalesce(coverage, 0), 9) AS confidence
+  FROM benchmark LEFT JOIN top ON top.query_id = item_id LEFT JOIN cov ON cov.query_id = item_id
+)
+"""
+_GATE = "CASE WHEN {0} >= {1} THEN 'ANSWER' WHEN {0} >= {2} THEN 'ANSWER_WEAK' ELSE 'NOT_FOUND' END"
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@register(f"SELECT doc_id, md5({_LOWER.format('text')}) AS lower_md5, md5({_FOLD.format('text')}) AS fold_md5 FROM documents")
+def turkish_casing(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.tr_lower(F.col("text"))).alias("lower_md5"), F.md5(T.fold_diacritics(F.col("text"))).alias("fold_md5"))
+
+
+@register(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
+def fold_tokens(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@register(f"SELECT doc_id, n AS words, floor(n * 2.0)::INTEGER AS estimate, (floor(n * 2.77::DOUBLE) + 1)::INTEGER AS counted FROM (SELECT doc_id, len({_words('text')})::INTEGER AS n FROM documents)")
+def token_estimates(spark, sf_dir):
+    c = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.word_count(c).alias("words"), T.estimate_tokens(c).alias("estimate"), T.count_tokens(c).alias("counted"))
+
+
+@register(f"SELECT doc_id, coalesce(list_max(list_transform({_words('text')}, lambda w: length(w))), 0)::INTEGER AS run FROM documents")
+def longest_run(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.longest_run(F.col("text")).alias("run"))
+
+
+@register(r"""
+SELECT doc_id, count_if(bare <> '' AND length(bare) <= 12 AND (regexp_full_match(bare, '\d+') OR (starts_with(lower(bare), 'sayfa') AND regexp_matches(bare, '\d')) OR regexp_full_match(bare, '\s*\d+\s*/\s*\d+\s*'))) AS n
+FROM (SELECT doc_id, trim(trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)), '-–—.[]() ') AS bare FROM documents) GROUP BY doc_id""")
+def page_number_lines(spark, sf_dir):
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(T.looks_like_page_number(F.col("line"))).alias("n"))
+
+
+@register(r"SELECT doc_id, md5(regexp_replace(text, '([\p{L}])-[ \t\r]*\n[ \t\r]*([\p{Ll}\p{Lo}\p{Lm}])', '\1\2', 'g')) AS joined_md5 FROM (SELECT doc_id, replace(text, ' an', '-' || chr(10) || ' an') AS text FROM documents)")
+def hyphenation(spark, sf_dir):
+    broken = F.replace("text", F.lit(" an"), F.lit("-\n an"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.fix_hyphenation(broken)).alias("joined_md5"))
+
+
+@register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'son_versiyon' WHEN 1 THEN 'degisiklik' WHEN 2 THEN 'eski_versiyon' ELSE 'diger' END AS kind,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (2000 + doc_id % 25) || '-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') END AS rg_date FROM documents""")
+def version_labels(spark, sf_dir):
+    label = F.element_at(F.array(*map(F.lit, ("SON VERSİYON", "Değişiklik 3", "Eski Hal", "Ek"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    date = F.when(F.col("doc_id") % 3 == 0, "2020/1/1").otherwise(F.concat_ws(".", 1 + F.col("doc_id") % 28, 1 + F.col("doc_id") % 12, 2000 + F.col("doc_id") % 25))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.classify_version(label).alias("kind"), T.parse_dotted_date(date).alias("rg_date"))
+
+
+@register("""
+WITH t AS (SELECT doc_id, text, doc_id % 4 AS k FROM documents)
+SELECT doc_id, md5(CASE k WHEN 0 THEN trim(text, ' ' || chr(10)) WHEN 1 THEN 'answer ' || trim(text, ' ' || chr(10)) WHEN 2 THEN trim(text, ' ' || chr(10)) ELSE 'kept' END) AS shown_md5 FROM t""")
+def strip_thinking(spark, sf_dir):
+    k, c = F.col("doc_id") % 4, F.col("text")
+    raw = F.when(k == 0, c).when(k == 1, F.concat(F.lit("<think>x\ny</think>answer "), c)).when(k == 2, F.concat(F.lit("<think>\n\n"), c)).otherwise(F.concat(F.lit("kept <think> "), c))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_thinking(raw)).alias("shown_md5"))
+
+
+# --- quality, duplicates, files -------------------------------------------------------------------
+
+
+@register(rf"""
+WITH d AS (SELECT doc_id, text, length(text) AS n, length(text) - length(replace(text, chr(65533), '')) AS bad, coalesce(list_max(list_transform({_words('text')}, lambda w: length(w))), 0) AS run,
+  list_filter(['Ã¼', 'Ã¶', 'Ã§', 'Ãı', 'Å', 'Ä°', 'Ä±', 'Ã' || chr(156), 'ÃÂ'], lambda m: contains(text, m)) AS marks FROM documents)
+SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\S') THEN 'empty: no text extracted' ELSE array_to_string(list_filter([
+  CASE WHEN n < 200 THEN 'near-empty: only ' || n || ' chars extracted' END,
+  CASE WHEN bad > 0 AND bad / n > 0.001 THEN 'replacement-chars: ' || bad || ' U+FFFD present (bad decode)' END,
+  CASE WHEN len(marks) > 0 THEN 'mojibake: found [''' || array_to_string(marks[1:3], ''', ''') || '''] (UTF-8 text decoded as cp1252?)' END,
+  CASE WHEN len(regexp_extract_all(text, '[{fixed.TURKISH_LETTERS}]')) < 1 THEN 'no-turkish-chars: 0 of ıİşğüöç in a Turkish document (mis-decoded?)' END,
+  CASE WHEN run > 40 THEN 'gibberish-run: ' || run || ' chars with no whitespace' END], lambda f: f IS NOT NULL), '; ') END AS flags FROM d""")
+def quality_flags(spark, sf_dir):
+    page = F.array(F.struct(F.lit(None).cast("int").alias("number"), F.col("text").alias("text"), F.lit(False).alias("needs_ocr")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(quality.quality_flags(F.col("text"), page), "; ").alias("flags"))
+
+
+@register("SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY lpad(doc_id::VARCHAR, 12, '0')) > 1 AS duplicate, sha256(text) AS file_sha256 FROM documents")
+def dedup_exact(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("file_sha256"))
+    return quality.mark_duplicates(rows).select("doc_id", "duplicate", "file_sha256")
+
+
+@register(r"""
+WITH l AS (SELECT source AS doc, doc_id AS number, i, regexp_replace(line, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g') AS bare, line
+  FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc, number ORDER BY i) AS up, row_number() OVER (PARTITION BY doc, number ORDER BY i DESC) AS down FROM l WHERE bare <> ''),
+r AS (SELECT doc, bare FROM e WHERE (up <= 2 OR down <= 2) AND length(bare) <= 90 GROUP BY doc, bare HAVING count(DISTINCT number) >= 2),
+k AS (SELECT l.* FROM l ANTI JOIN r ON l.doc = r.doc AND l.bare = r.bare WHERE NOT (bare <> '' AND length(trim(bare, '-–—.[]() ')) BETWEEN 1 AND 12 AND
+  (regexp_full_match(trim(bare, '-–—.[]() '), '\d+') OR regexp_full_match(trim(bare, '-–—.[]() '), '\d+\s*/\s*\d+')))),
+j AS (SELECT doc, number, count(*) AS n FROM k GROUP BY doc, number)
+SELECT source, doc_id, len(string_split(text, chr(10))) - coalesce(j.n, 0) AS removed FROM documents LEFT JOIN j ON doc = source AND number = doc_id""")
+def repeating_lines(spark, sf_dir):
+    """Documents as the pages of their source; lines on two pages' edges are furniture.  Lines removed from each page."""
+    docs = _t(spark, sf_dir, "documents")
+    pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("number"), F.regexp_replace("text", "[\r\x0b\x0c\x1c-\x1e\x85  ]", " ").alias("text"))
+    kept = quality.kept_lines(pages, 2).groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n"))
+    lines = pages.select(F.col("doc_id").alias("source"), F.col("number").alias("doc_id"), F.size(F.split("text", "\n")).cast("long").alias("all"))
+    return lines.join(kept.select(F.col("doc_id").alias("source"), F.col("number").alias("doc_id"), "n"), ["source", "doc_id"], "left").select("source", "doc_id", (F.col("all") - F.coalesce("n", F.lit(0))).alias("removed"))
+
+
+@register("""
+SELECT page_id, CASE WHEN length(html) = 0 THEN 'empty' WHEN starts_with(lower(html[1:8]), '<html') OR starts_with(lower(html[1:8]), '<!doc') THEN 'html' WHEN starts_with(html, '%PDF') THEN 'pdf'
+  ELSE 'unknown:' || lower(hex(encode(html)))[1:8] END AS kind, sha256(html) AS sha FROM pages""")
+def sniff_types(spark, sf_dir):
+    blob = F.col("html").cast("binary")
+    return _t(spark, sf_dir, "pages").select("page_id", files.sniff(blob).alias("kind"), F.sha2(blob, 256).alias("sha"))
+
+
+@register("""
+WITH f AS (SELECT CASE WHEN length(text) < 200 THEN ['near-empty: x', 'short: y'] ELSE ['long: z'] END AS flags, lang, source FROM documents)
+SELECT kind, value, count(*) AS n FROM (SELECT 'type' AS kind, lang AS value FROM f UNION ALL SELECT 'status', source FROM f UNION ALL SELECT 'flag', split_part(unnest(flags), ':', 1) FROM f) GROUP BY ALL""")
+def extraction_report(spark, sf_dir):
+    flags = F.when(F.length("text") < 200, F.array(F.lit("near-empty: x"), F.lit("short: y"))).otherwise(F.array(F.lit("long: z")))
+    return quality.extraction_report(_t(spark, sf_dir, "documents").select(F.col("lang").alias("detected_type"), F.col("source").alias("status"), F.lit(None).cast("string").alias("reason"), flags.alias("flags")))
+
+
+# --- identity and chunking ---------------------------------------------------------------------------
+
+
+def _statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statute-like text made from each document: a heading, gazette fields, and the document's lines as articles."""
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 5 == 3, "GEÇİCİ MADDE ").otherwise("MADDE "), i + 1, F.lit(" – "), x)), "\n")
+    head = F.concat(F.lit("ELEKTRİK PİYASASI "), F.upper("source"), F.lit(" YÖNETMELİĞİ\nKanun No: "), 1000 + F.col("doc_id") % 9000, F.lit("\nYayımlandığı Resmî Gazete Tarih: "), 1 + F.col("doc_id") % 28, F.lit("/3/2001 Sayı: "), 24000 + F.col("doc_id") % 1000, F.lit("\n"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(head, lines).alias("text"))
+
+
+@register("""SELECT doc_id, 'ELEKTRİK PİYASASI ' || upper(source) || ' YÖNETMELİĞİ' AS title, 'Yönetmelik' AS mevzuat_type, (1000 + doc_id % 9000)::VARCHAR AS number,
+  '2001-03-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS rg_date, (24000 + doc_id % 1000)::VARCHAR AS rg_number, 'high' AS confidence FROM documents""")
+def identify_titles(spark, sf_dir):
+    return identity.identify(_statutes(spark, sf_dir)).select("doc_id", "title", "mevzuat_type", "number", "rg_date", "rg_number", "confidence")
+
+
+@register("""
+SELECT doc_id, len(string_split(text, chr(10))) AS articles, count_if(i % 5 = 4) AS temporary FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) GROUP BY doc_id, text""")
+def find_articles(spark, sf_dir):
+    found = _statutes(spark, sf_dir).select("doc_id", F.filter(chunking.find_articles(F.col("text")), lambda a: a["kind"].isNotNull()).alias("a"))
+    return found.select("doc_id", F.size("a").cast("long").alias("articles"), F.size(F.filter("a", lambda a: a["kind"] == "GEÇİCİ MADDE")).cast("long").alias("temporary"))
+
+
+@register()
+def article_chunks(spark, sf_dir):
+    docs = identity.identify(_statutes(spark, sf_dir)).withColumns({"page_note": F.lit(None).cast("string"), "pages": F.array(F.struct(F.lit(None).cast("int").alias("number"), F.col("text").alias("text")))})
+    return chunking.chunk_documents(docs.select("doc_id", "title", "page_note", "pages"))
+
+
+_WINDOWS = f"""
+w AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+o AS (SELECT doc_id, ws, unnest(range(0, (ceil(greatest(len(ws) - 256, 0) / 231) * 231 + 1)::BIGINT, 231)) AS pos FROM w WHERE len(ws) > 0),
+windows AS (SELECT doc_id, (pos // 231)::INTEGER AS chunk_index, ws[pos + 1:pos + 256] AS g FROM o)
+"""
+
+
+@register(f"WITH {_WINDOWS} SELECT doc_id, chunk_index, md5(array_to_string(g, ' ')) AS text_md5, 'token-window' AS strategy, (len(g) * 2)::INTEGER AS token_estimate, 'no page model for this format' AS page_note FROM windows")
+def window_chunks(spark, sf_dir):
+    pages = F.array(F.struct(F.lit(None).cast("int").alias("number"), F.col("text").alias("text")))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("page_note"), pages.alias("pages"))
+    return chunking.chunk_documents(docs).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "strategy", "token_estimate", "page_note")
+
+
+@register("""
+WITH p AS (SELECT conv_id, turn, length(text) AS n, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 2 AS a FROM conversations WHERE regexp_matches(text, '\\S')),
+t AS (SELECT conv_id, sum(n + 2) - 2 AS total FROM p GROUP BY conv_id)
+SELECT conv_id, min(turn + 1)::INTEGER AS first, max(turn + 1)::INTEGER AS last FROM p JOIN t USING (conv_id) WHERE a < total // 2 + 40 AND a + n > total // 2 GROUP BY conv_id""")
+def page_spans(spark, sf_dir):
+    """Messages as the pages of a conversation; which of them forty characters from its middle touch."""
+    pages = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda p: F.struct((p["turn"] + 1).cast("int").alias("number"), p["text"].alias("text")))
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(pages.alias("pages")).withColumn("n", F.length(chunking.document_text(F.col("pages"))))
+    span = chunking.page_span(F.col("pages"), F.expr("int(n div 2)"), F.expr("int(n div 2 + 40)"))
+    return rows.select("conv_id", span.alias("s")).select("conv_id", "s.first", "s.last")
+
+
+# --- scope ----------------------------------------------------------------------------------------------
+
+
+def _cited() -> Column:
+    codes = F.array(*map(F.lit, [*fixed.DOMAIN_CODES[:3], *fixed.OTHER_CODES[:3], "9999"]))
+    return F.element_at(codes, (F.col("doc_id") % 7 + 1).cast("int"))
+
+
+_CODE_LIST = ", ".join(f"'{c}'" for c in [*fixed.DOMAIN_CODES[:3], *fixed.OTHER_CODES[:3], "9999"])
+
+
+@register(f"SELECT doc_id, CASE WHEN doc_id % 7 < 3 THEN c ELSE '' END AS domain, CASE WHEN doc_id % 7 BETWEEN 3 AND 5 THEN c ELSE '' END AS other FROM (SELECT doc_id, [{_CODE_LIST}][doc_id % 7 + 1] AS c FROM documents)")
+def scope_codes(spark, sf_dir):
+    text = F.concat(F.col("lang"), F.lit(" MADDE 7- "), _cited(), F.lit(" sayılı Kanunun 16 ncı maddesi; "), _cited(), F.lit(" SAYILI Kanun"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", scope.cited_codes(text).alias("c"))
+    return rows.select("doc_id", F.array_join("c.domain", ",").alias("domain"), F.array_join("c.other", ",").alias("other"))
+
+
+_NEUTRAL = scope.Lexicon(domain_terms=("the", "and", "shall", "of the"), other_terms=("le", "der", "que", "los"))
+
+
+def _hit(t: str) -> str:
+    return f"CASE WHEN regexp_matches(low, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]){t}') THEN '{t}' END"
+
+
+_LABELLED = f"""
+lab AS (
+  SELECT *, CASE WHEN nd = 0 AND no = 0 THEN 'OFF_DOMAIN' WHEN no = 0 THEN 'ELECTRICITY' WHEN nd = 0 THEN 'OFF_DOMAIN' WHEN nd >= 2 * no THEN 'ELECTRICITY' WHEN no >= 2 * nd THEN 'OFF_DOMAIN' ELSE 'AMBIGUOUS' END AS scope_label FROM (
+    SELECT doc_id, source, text, array_to_string(list_filter([{', '.join(map(_hit, _NEUTRAL.domain_terms))}], lambda x: x IS NOT NULL), ',') AS domain,
+      array_to_string(list_filter([{', '.join(map(_hit, _NEUTRAL.other_terms))}], lambda x: x IS NOT NULL), ',') AS other,
+      len(list_filter([{', '.join(map(_hit, _NEUTRAL.domain_terms))}], lambda x: x IS NOT NULL)) AS nd, len(list_filter([{', '.join(map(_hit, _NEUTRAL.other_terms))}], lambda x: x IS NOT NULL)) AS no
+    FROM (SELECT *, {_LOWER.format('text')} AS low FROM documents))
+)"""
+
+
+@register(f"WITH {_LABELLED} SELECT doc_id, domain, other, scope_label, scope_label <> 'OFF_DOMAIN' AS indexable FROM lab")
+def scope_terms(spark, sf_dir):
+    """Documents hold no cited codes: the label comes from vocabulary alone."""
+    rows = scope.classify(_t(spark, sf_dir, "documents"), _NEUTRAL)
+    return rows.select("doc_id", F.array_join("domain_hits", ",").alias("domain"), F.array_join("other_hits", ",").alias("other"), "scope_label", "indexable")
+
+
+@register(f"""
+WITH {_WINDOWS}, r AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE 'MADDE ' || chunk_index // 4 END AS ref FROM windows),
+l AS (SELECT *, lag(ref) OVER o AS before, row_number() OVER o AS n FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)),
+f AS (SELECT *, CASE WHEN before IS NOT NULL AND (ref IS NULL OR ref = before) THEN 0 ELSE 1 END AS fresh FROM l)
+SELECT doc_id, chunk_index, sum(fresh) OVER (PARTITION BY doc_id ORDER BY chunk_index)::BIGINT AS grp FROM f""")
+def scope_islands(spark, sf_dir):
+    pages = F.array(F.struct(F.lit(None).cast("int").alias("number"), F.col("text").alias("text")))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("page_note"), pages.alias("pages"))
+    chunks = chunking.chunk_documents(docs).withColumn("article_ref", F.when(F.col("chunk_index") % 3 != 1, F.concat(F.lit("MADDE "), F.expr("chunk_index div 4"))))
+    return scope.article_groups(chunks).select("doc_id", "chunk_index", F.col("grp").cast("long").alias("grp"))
+
+
+@register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'OMNIBUS' WHEN 1 THEN 'EXCLUDED' WHEN 2 THEN 'OMNIBUS' ELSE 'IN_SCOPE' END AS disposition FROM documents""")
+def document_scopes(spark, sf_dir):
+    titles = F.array(F.lit("BAZI KANUNLARDA DEĞİŞİKLİK YAPILMASINA DAİR KANUN"), F.lit("NÜKLEER DÜZENLEME KANUNU"), F.lit(None).cast("string"), F.lit("ELEKTRİK PİYASASI KANUNU"))
+    title = F.element_at(titles, (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(F.when(F.col("doc_id") % 4 == 2, "diğer bazı kanunlarda ve kararnamelerde değişiklik yapılması ").otherwise(""), F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", scope.document_scope(title, text)["disposition"].alias("disposition"))
+
+
+# --- store ----------------------------------------------------------------------------------------------
+
+
+def _version(docs: DataFrame, suffix: Column) -> DataFrame:
+    return docs.select(
+        F.concat(F.lit("doc/"), F.col("doc_id")).alias("source_path"), F.sha2(F.concat(F.col("text"), F.lit("|"), F.col("doc_id"), suffix).cast("binary"), 256).alias("file_sha256"), F.lit(0).alias("chunk_index"),
+        "text", F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit(True).alias("indexable"),
+    )
+
+
+_A, _B = "sha256(text || '|' || doc_id || 'A')", "sha256(text || '|' || doc_id || CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'A' END)"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("source_path", "file_sha256", "chunk_index", "active", "indexable")
+
+
+@register(f"""
+SELECT 'doc/' || doc_id AS source_path, {_A} AS file_sha256, 0 AS chunk_index, doc_id % 3 <> 0 AS active, true AS indexable FROM documents
+UNION ALL SELECT 'doc/' || doc_id, {_B}, 0, true, true FROM documents WHERE doc_id % 3 = 0""")
+def store_upsert(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    first = store.upsert(store.empty(spark), _version(docs, F.lit("A")))
+    return _shown(store.upsert(first, _version(docs, F.when(F.col("doc_id") % 3 == 0, "B").otherwise("A"))))
+
+
+@register(f"""
+SELECT 'doc/' || doc_id AS source_path, {_A} AS file_sha256, 0 AS chunk_index, true AS active, true AS indexable FROM documents
+UNION ALL SELECT 'doc/' || doc_id, {_B}, 0, false, true FROM documents WHERE doc_id % 3 = 0""")
+def store_reactivate(spark, sf_dir):
+    """Content that changes and comes back is active again with its first rows."""
+    docs = _t(spark, sf_dir, "documents")
+    first = store.upsert(store.empty(spark), _version(docs, F.lit("A")))
+    second = store.upsert(first, _version(docs, F.when(F.col("doc_id") % 3 == 0, "B").otherwise("A")))
+    return _shown(store.upsert(second, _version(docs, F.lit("A"))))
+
+
+@register(f"SELECT 'doc/' || doc_id AS source_path, {_A} AS active_sha256, {_B} AS new_sha256 FROM documents WHERE doc_id % 3 = 0")
+def store_changed(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    first = store.upsert(store.empty(spark), _version(docs, F.lit("A")))
+    return store.changed_paths(first, _version(docs, F.when(F.col("doc_id") % 3 == 0, "B").otherwise("A")))
+
+
+@register(f"SELECT 'doc/' || doc_id AS source_path, {_A} AS file_sha256, 0 AS chunk_index, doc_id % 5 <> 1 AS active, true AS indexable FROM documents WHERE doc_id % 5 <> 0")
+def store_delete_retire(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    rows = store.upsert(store.empty(spark), _version(docs, F.lit("A")))
+    path = F.concat(F.lit("doc/"), F.col("doc_id")).alias("source_path")
+    kept = store.delete(rows, docs.where("doc_id % 5 = 0").select(path))
+    return _shown(store.retire(kept, docs.where("doc_id % 5 = 1").select(path)))
+
+
+@register("""
+WITH m AS (SELECT doc_id, source, doc_id % 4 = 0 AND doc_id % 8 <> 0 AS able, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 2000 + doc_id % 25 END AS y FROM documents),
+r AS (SELECT *, bool_or(able) OVER g AS has_able, count(*) OVER g AS n, row_number() OVER (PARTITION BY source ORDER BY able DESC, y DESC NULLS LAST, doc_id) AS r FROM m WINDOW g AS (PARTITION BY source))
+SELECT doc_id, CASE WHEN has_able THEN r = 1 AND able ELSE n = 1 END AS is_current FROM r""")
+def latest_per_group(spark, sf_dir):
+    m = _t(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("document_group"), F.when(F.col("doc_id") % 4 == 0, "son_versiyon").otherwise("diger").alias("version_kind"), (F.col("doc_id") % 8 == 0).alias("is_mulga"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(2000 + F.col("doc_id") % 25, F.lit("-01-01"))).alias("rg_date"), F.col("doc_id").alias("seq"),
+    )
+    return store.mark_current(m).select("doc_id", "is_current")
+
+
+# --- retrieval ----------------------------------------------------------------------------------------------
+
+
+@register(f"WITH {_BM25} SELECT term, df, round(idf, 9) AS idf FROM s")
+def idf_table(spark, sf_dir):
+    return lexical.build_index(_texts(spark, sf_dir)).stats.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@register(f"WITH {_BM25} SELECT n, round(avgdl, 9) AS avgdl, (SELECT count(*) FROM s) AS vocabulary FROM c")
+def corpus_stats(spark, sf_dir):
+    index = lexical.build_index(_texts(spark, sf_dir))
+    return index.corpus.select("n", F.round("avgdl", 9).alias("avgdl"), index.stats.agg(F.count(F.lit(1)).alias("v")).scalar().alias("vocabulary"))
+
+
+@register(f"WITH {_BM25} SELECT query_id, id, score, rank::INTEGER AS rank FROM lex WHERE rank <= {DEFAULTS.top_k}")
+def bm25_topk(spark, sf_dir):
+    return lexical.search(_texts(spark, sf_dir), _questions(spark, sf_dir), DEFAULTS.top_k).select("query_id", "id", "score", "rank")
+
+
+@register("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 9) AS norm FROM embeddings")
+def l2_norms(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(dense.norm(F.col("embedding")), 9).alias("norm"))
+
+
+@register(f"WITH {_DENSE.format('SELECT vec_id FROM e WHERE vec_id % 20 = 0')} SELECT query_id, id, score, rank::INTEGER AS rank FROM den WHERE rank <= {DEFAULTS.top_k}")
+def cosine_topk(spark, sf_dir):
+    """Every twentieth vector asked against all."""
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return dense.cosine_topk(vectors, asked, DEFAULTS.top_k).select("query_id", "id", "score", "rank")
+
+
+def _parts(spark: SparkSession, sf_dir: str):
+    texts, vectors = _texts(spark, sf_dir), _t(spark, sf_dir, "embeddings")
+    queries = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    return lexical.build_index(texts), texts, vectors.select(F.col("vec_id").alias("id"), "embedding"), queries
+
+
+@register(f"WITH {_FUSED} SELECT query_id, id, score, dense_score, dense_rank::INTEGER AS dense_rank, lexical_score, lexical_rank::INTEGER AS lexical_rank, rank::INTEGER AS rank FROM fused")
+def rrf_fuse(spark, sf_dir):
+    fused, _ = fusion.answerable(*_parts(spark, sf_dir))
+    return fused.select("query_id", "id", "score", "dense_score", "dense_rank", "lexical_score", "lexical_rank", "rank")
+
+
+@register(f"""
+WITH {_FUSED} SELECT query_id, id, round(sum(1.0::DOUBLE / ({DEFAULTS.rrf_k} + rank)), 12) AS score FROM (
+  SELECT query_id, id, rank FROM den WHERE rank <= 10 UNION ALL SELECT query_id, id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT query_id, id, rank FROM den WHERE rank <= 3) GROUP BY query_id, id""")
+def rrf_many(spark, sf_dir):
+    _, texts, vectors, queries = _parts(spark, sf_dir)
+    by_vector, by_word = dense.cosine_topk(vectors, queries, 10), lexical.search(texts, queries, 10)
+    return fusion.reciprocal_rank_fusion([by_vector, by_word, by_vector.where("rank <= 3")])
+
+
+@register(f"WITH {_JUDGED} SELECT query_id, dense_top, round(coverage, 9) AS coverage, confidence, {_GATE.format('confidence', DEFAULTS.fused_threshold, DEFAULTS.fused_floor)} AS decision FROM judged")
+def gate_decision(spark, sf_dir):
+    _, judged = fusion.answerable(*_parts(spark, sf_dir))
+    return judged.select("query_id", "dense_top", F.round("coverage", 9).alias("coverage"), "confidence", "decision")
+
+
+@register(f"""
+WITH {_JUDGED} SELECT query_id, confidence, {_GATE.format('confidence', DEFAULTS.fused_threshold, DEFAULTS.fused_floor)} AS decision, id, rank::INTEGER AS rank, score, source
+FROM judged LEFT JOIN fused USING (query_id) LEFT JOIN (SELECT doc_id, source FROM documents) ON doc_id = id""")
+def hybrid_answer(spark, sf_dir):
+    """The flagship: fused results of every question with metadata, its confidence and the gate's decision."""
+    fused, judged = fusion.answerable(*_parts(spark, sf_dir))
+    meta = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    hits = fused.select("query_id", "id", "rank", "score").join(meta, "id", "left")
+    return judged.select("query_id", "confidence", "decision").join(hits, "query_id", "left").select("query_id", "confidence", "decision", "id", "rank", "score", "source")
+
+
+@register(f"""
+WITH {_DENSE.format('SELECT item_id FROM benchmark')}, t AS (SELECT query_id, max(score) AS top FROM den WHERE rank <= 5 GROUP BY query_id)
+SELECT query_id, top, {_GATE.format('top', DEFAULTS.dense_threshold, DEFAULTS.dense_floor)} AS decision FROM t""")
+def gate_dense(spark, sf_dir):
+    _, _, vectors, queries = _parts(spark, sf_dir)
+    tops = dense.cosine_topk(vectors, queries, DEFAULTS.top_k).groupBy("query_id").agg(F.max("score").alias("top"))
+    return tops.select("query_id", "top", fusion.gate_dense(F.col("top")).alias("decision"))
+
+
+_SIGNALS = f"""
+{_JUDGED}, tw AS (SELECT query_id, sum(w) AS total FROM w GROUP BY query_id),
+sg AS (SELECT tw.query_id, coalesce(top.dense_top, 0) AS d, coalesce(cov.coverage, 0) AS c, coalesce(x / total, 0) AS l FROM tw LEFT JOIN top USING (query_id) LEFT JOIN cov USING (query_id)
+  LEFT JOIN (SELECT query_id, max(coalesce(lexical_score, 0)) AS x FROM fused GROUP BY query_id) USING (query_id))
+"""
+
+
+@register(f"WITH {_SIGNALS} SELECT query_id, d AS dense_top1, round(l, 9) AS lexical_norm, round(c, 9) AS coverage_topk, round(d * c, 9) AS dense_x_coverage, round(d * l, 9) AS dense_x_lexnorm, round((d + c) / 2, 9) AS mean_dense_cov FROM sg")
+def gate_signals(spark, sf_dir):
+    index, texts, vectors, queries = _parts(spark, sf_dir)
+    fused, _ = fusion.answerable(index, texts, vectors, queries)
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).join(index.stats, "term", "left")
+    weights = terms.groupBy("query_id").agg(F.sum(F.coalesce("idf", lexical.idf(index.corpus.select("n").scalar(), F.lit(0)))).alias("total"))
+    return evaluate.gate_signals(fused, weights, fusion.coverage(index, queries, fused, texts))
+
+
+# --- answers and conversations ------------------------------------------------------------------------------
+
+
+@register(f"""
+WITH {_BM25}, r AS (SELECT query_id, id, rank, (floor(len({_words("'KAYNAK ' || rank || ':' || chr(10) || text")}) * 2.77::DOUBLE) + 1 + 4)::INTEGER AS tokens FROM lex JOIN d USING (id) WHERE rank <= 10)
+SELECT query_id, id, label, tokens FROM (SELECT query_id, id, rank::INTEGER AS label, tokens, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r) WHERE used <= {DEFAULTS.context_budget}""")
+def budget_prefix(spark, sf_dir):
+    hits = lexical.search(_texts(spark, sf_dir), _questions(spark, sf_dir), 10).join(_texts(spark, sf_dir), "id")
+    budget = _questions(spark, sf_dir).select("query_id", F.lit(DEFAULTS.context_budget).alias("available"))
+    return answer.fit(hits.select("query_id", "id", F.col("rank").alias("label"), "text"), budget).select("query_id", "id", "label", "tokens")
+
+
+@register(r"""SELECT doc_id, len(regexp_extract_all(t, '\[…\]')) AS marks, md5(t) AS text_md5 FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace('[…]fıkra […] uyarınca ' || lower(regexp_replace(text, '[^a-zA-Z ]', '', 'g')), '[ \t]{2,}', ' ', 'g'), '(\[…\]\s*){2,}', '[…] ', 'g')) AS t FROM documents)""")
+def scrub_context(spark, sf_dir):
+    plain = F.lower(F.regexp_replace("text", "[^a-zA-Z ]", ""))
+    text = F.concat(F.lit("MADDE 6 fıkra 6446 sayılı ve 24/2/2017 uyarınca "), plain)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", answer.scrub_context(text).alias("t"))
+    return rows.select("doc_id", F.regexp_count("t", F.lit(r"\[…\]")).cast("long").alias("marks"), F.md5("t").alias("text_md5"))
+
+
+@register("""
+SELECT conv_id, turn, array_to_string(list_transform(list_distinct([]::INTEGER[]) || CASE WHEN turn % 3 = 0 THEN [turn + 1, turn + 2] WHEN turn % 3 = 1 THEN [1, 3] ELSE [] END, lambda x: x::VARCHAR), ',') AS labels FROM conversations""")
+def label_parse(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("conv_id", "turn", F.array_join(answer.parse_labels(F.col("answer")), ",").alias("labels"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as answers: two labels, a range with a repeat, or none."""
+    n = F.col("turn") % 3
+    said = F.when(n == 0, F.concat(F.lit(" (KAYNAK "), F.col("turn") + 1, F.lit(" ve "), F.col("turn") + 2, F.lit(")."))).when(n == 1, " [kaynak 1-3] sonra KAYNAK 1.").otherwise(".")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.translate("text", "0123456789", ""), said).alias("answer"))
+
+
+@register("""
+WITH u AS (SELECT conv_id, turn, unnest(CASE WHEN turn % 3 = 0 THEN [turn + 1, turn + 2] WHEN turn % 3 = 1 THEN [1, 3] ELSE [] END)::INTEGER AS label FROM conversations)
+SELECT conv_id * 1000 + turn AS query_id, label, CASE WHEN label <= 3 THEN label * 10 END::BIGINT AS id, label > 3 AS hallucinated FROM u""")
+def citation_join(spark, sf_dir):
+    answers = _labelled(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "answer")
+    blocks = answers.select("query_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("label")).withColumn("id", (F.col("label") * 10).cast("long"))
+    return answer.cite(answers, blocks).select("query_id", "label", "id", "hallucinated")
+
+
+_FOLLOW = ", ".join(f"'{w}'" for w in fixed.FOLLOW_UP)
+
+
+@register(f"""
+SELECT conv_id, turn, len(w) > 0 AND (list_has_any(w, [{_FOLLOW}]) OR len({_tokens('text')}) <= 2) AS follow_up
+FROM (SELECT *, regexp_extract_all(lower({_FOLD.format('text')}), '[a-z0-9]+') AS w FROM conversations WHERE role = 'user')""")
+def follow_up(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", conversation.looks_like_follow_up(F.col("text")).alias("follow_up"))
+
+
+@register("""
+WITH m AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS nt FROM conversations WHERE role IN ('user', 'assistant') WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS exchange, text AS question, CASE WHEN nr = 'assistant' THEN nt END AS answer FROM m WHERE role = 'user'""")
+def exchanges(spark, sf_dir):
+    return conversation.exchanges(_t(spark, sf_dir, "conversations")).select("conv_id", "exchange", "question", "answer")
+
+
+@register("""
+WITH x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations WHERE role = 'user')
+SELECT conv_id, exchange::INTEGER AS exchange, least(exchange - 1, 3)::BIGINT AS recalled FROM x""")
+def history_last_n(spark, sf_dir):
+    turns = conversation.exchanges(_t(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "Kullanıcı: ", "")))
+    rows = conversation.history(turns)
+    return rows.select("conv_id", "exchange", F.coalesce(F.regexp_count("history", F.lit("(?m)^Kullanıcı: ")), F.lit(0)).cast("long").alias("recalled"))
+
+
+@register("""
+SELECT conv_id, turn, turn % 4 = 0 AS accepted FROM conversations""")
+def rewrite_accept(spark, sf_dir):
+    n = F.col("turn") % 4
+    raw = F.when(n == 0, "SORU: 'Önlisans süresi ne kadardır?'\nnot").when(n == 1, "YENİ").when(n == 2, "Evet, uzatılır?").otherwise(F.concat(F.repeat(F.lit("çok uzun "), 400), F.col("turn").cast("string"), F.lit("?")))
+    question = F.lit("Peki bu süre?")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", conversation.rewrite_accepted(question, T.clean_rewrite(raw)).alias("accepted"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.round(F.col("n_chars") % 997 / 997 + F.col("quality") * 0.2, 9).alias("score"), (F.col("quality") == 1).alias("positive"))
+
+
+_SCORES = """
+sc AS (SELECT doc_id, round(n_chars % 997 / 997 + quality * 0.2, 9) AS score, quality = 1 AS positive FROM labels JOIN documents USING (doc_id)),
+y AS (SELECT DISTINCT score AS cutoff FROM sc),
+j AS (SELECT cutoff, count_if(positive AND score >= cutoff) / (SELECT count_if(positive) FROM sc) AS tpr, count_if(NOT positive AND score >= cutoff) / (SELECT count_if(NOT positive) FROM sc) AS fpr FROM y, sc GROUP BY cutoff),
+best AS (SELECT round(tpr - fpr, 9) AS j, cutoff, tpr, fpr FROM j ORDER BY round(tpr - fpr, 9) DESC, cutoff LIMIT 1)
+"""
+
+
+@register(f"WITH {_SCORES} SELECT * FROM best")
+def youden(spark, sf_dir):
+    return evaluate.best_separation(_scores(spark, sf_dir))
+
+
+@register(f"WITH {_SCORES}, e AS (SELECT min(score) FILTER (positive) AS low, max(score) FILTER (NOT positive) AS high FROM sc) SELECT floor(CASE WHEN low > high THEN high + 0.75 * (low - high) ELSE cutoff END * 100000) / 100000 AS threshold, floor(CASE WHEN low > high THEN high + 0.25 * (low - high) ELSE low END * 100000) / 100000 AS floor, low > high AS clean FROM e, best")
+def recommend_cutoffs(spark, sf_dir):
+    return evaluate.recommend(_scores(spark, sf_dir))
+
+
+@register(f"WITH {_SCORES} SELECT positive, count(*) AS n, min(score) AS least, median(score) AS median, round(avg(score), 9) AS mean, max(score) AS most FROM sc GROUP BY positive")
+def score_distribution(spark, sf_dir):
+    return evaluate.score_distribution(_scores(spark, sf_dir))
+
+
+_DEC = _GATE.format("{0}", 0.7, 0.4)
+
+
+@register(f"""
+WITH {_SCORES}, g AS (SELECT positive, {_DEC.format('score')} AS a, {_DEC.format('round(score * 0.9, 9)')} AS b FROM sc)
+SELECT count_if((a <> 'NOT_FOUND') = positive) AS right_typed, count_if((b <> 'NOT_FOUND') = positive) AS right_folded, count(*) AS total, count_if(a <> b) AS flips FROM g""")
+def gate_report(spark, sf_dir):
+    probes = _scores(spark, sf_dir).select(F.col("positive").alias("answerable"), F.col("score").alias("typed"), F.round(F.col("score") * 0.9, 9).alias("folded"))
+    return evaluate.gate_report(probes, 0.7, 0.4)
+
+
+@register(f"""
+WITH {_BM25}, g AS (SELECT item_id AS query_id, text[1:30] AS expected FROM benchmark),
+h AS (SELECT g.query_id, min(rank) AS first FROM lex JOIN d USING (id) JOIN g USING (query_id) WHERE contains(d.text, expected) GROUP BY g.query_id)
+SELECT depth, count_if(first <= depth) AS found, count(*) AS total FROM g LEFT JOIN h USING (query_id), (SELECT unnest([10, 25, 50]) AS depth) GROUP BY depth""")
+def recall_at_k(spark, sf_dir):
+    hits = lexical.search(_texts(spark, sf_dir), _questions(spark, sf_dir), 50)
+    labels = _questions(spark, sf_dir).select("query_id", F.substring("text", 1, 30).alias("expected"))
+    return evaluate.recall_at(hits, labels, _texts(spark, sf_dir).select("id", F.col("text").alias("title")))
+
+
+@register()
+def recall_stemmed(spark, sf_dir):
+    stemmed = F.transform(T.tokenize(F.col("text")), T.stem)
+    index = lexical.build_index(_texts(spark, sf_dir), tokens=stemmed)
+    labels = _questions(spark, sf_dir).select("query_id", F.substring("text", 1, 30).alias("expected"))
+    return evaluate.recall_at(lexical.bm25_search(index, _questions(spark, sf_dir), 50, tokens=stemmed), labels, _texts(spark, sf_dir).select("id", F.col("text").alias("title")))
+
+
+@register(f"""
+WITH {_LABELLED} SELECT source AS source_path, count_if(scope_label = 'ELECTRICITY') AS electricity, count_if(scope_label = 'OFF_DOMAIN') AS off_domain, count_if(scope_label = 'AMBIGUOUS') AS ambiguous, count(*) AS chunks,
+  round(count_if(scope_label = 'OFF_DOMAIN') / count(*), 9) AS off_share FROM lab GROUP BY ROLLUP (source)""")
+def audit_rollup(spark, sf_dir):
+    rows = scope.classify(_t(spark, sf_dir, "documents"), _NEUTRAL).withColumnRenamed("source", "source_path")
+    return evaluate.scope_audit(rows)
+
+
+@register(f"""
+WITH {_LABELLED} SELECT source AS source_path, doc_id, trim(regexp_replace(text, '[\\s\\x0b\\p{{Z}}\\x85]+', ' ', 'g'))[1:300] AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM lab WHERE scope_label = 'OFF_DOMAIN') WHERE n <= 3""")
+def audit_samples(spark, sf_dir):
+    rows = scope.classify(_t(spark, sf_dir, "documents"), _NEUTRAL).select(F.col("source").alias("source_path"), F.col("doc_id").alias("chunk_index"), "text", "scope_label")
+    return evaluate.audit_samples(rows).select("source_path", F.col("chunk_index").alias("doc_id"), "excerpt")
+
+
+@register("SELECT source AS source_path, max(lang) AS title, string_agg(text, chr(10) ORDER BY doc_id) FILTER (n <= 2) AS opening FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source")
+def opening_texts(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "documents").select(F.col("source").alias("source_path"), F.col("doc_id").alias("chunk_index"), "text", F.col("lang").alias("document_title"))
+    return evaluate.document_titles(chunks).join(evaluate.opening_texts(chunks), "source_path")
+
+
+_COUNTS = f"cn AS (SELECT doc_id AS id, lang, len({_words('text')}) AS words, n_chars // 3 AS tokens FROM documents)"
+
+
+@register(f"""
+WITH {_COUNTS} SELECT count(*) AS chunks, round(avg(tokens / words) FILTER (words > 0), 9) AS mean_ratio, round(median(tokens / words) FILTER (words > 0), 9) AS median_ratio, max(tokens) AS most,
+  count_if(tokens > 512) AS over_target, count_if(tokens > 768) AS over_by_half, count_if(tokens > 4096) AS over_context FROM cn""")
+def tokenizer_report(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("words"), F.expr("n_chars div 3").alias("tokens"))
+    return evaluate.tokenizer_report(rows, 512, 4096)
+
+
+@register(f"""
+WITH {_COUNTS}, k AS (SELECT greatest(1, floor(80 / count(DISTINCT lang))) AS share FROM cn),
+r AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY tokens, id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, share FROM cn, k)
+SELECT id, lang FROM r WHERE i % greatest(1, floor(n / share)) = 0 AND floor(i / greatest(1, floor(n / share))) < share""")
+def stratified_sample(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.expr("n_chars div 3").alias("tokens"))
+    return evaluate.stratified_sample(rows, 80, stratum="lang").select("id", "lang")
