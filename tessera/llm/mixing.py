@@ -27,6 +27,7 @@ from tessera.llm.common import cut
 TOKENS = r"[^\x20\x09-\x0D]+"
 STEPS = 20
 AT_ONCE = 4  # bisection steps settled by one aggregate
+SALTS = 64
 SPREAD = 0.92  # default target: this part of the greatest entropy
 
 
@@ -108,7 +109,9 @@ def temperature_mix(docs: DataFrame, *, target_entropy: float | None = None, spr
     quota = F.floor(F.round(raised / F.lit(whole) * F.lit(float(budget)), 3)).cast("long")
     plan = sources.select("key", "held", quota.alias("quota"), F.ceil(F.col("held") / size).cast("long").alias("blocks"))
     plan = cut(plan.withColumns({"full": F.expr("quota div held"), "rest": F.expr("quota % held")}))
-    placed = rows.join(plan, "key").withColumn("block", _mixed(F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % F.col("blocks"))
+    # A source may hold most rows: its plan is dealt to every salt, so that its rows spread over tasks.
+    dealt = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS))).join(dealt, ["key", "salt"]).drop("salt").withColumn("block", _mixed(F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % F.col("blocks"))
     blocks = placed.groupBy("key", "block", "full", "rest").agg(F.sum("tokens").alias("held"))
     passes = cut(blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))))
     order = Window.partitionBy("key", "epoch").orderBy(_mixed(F.lit("order"), F.col("key"), F.col("epoch"), F.col("block")), "block")
