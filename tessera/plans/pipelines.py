@@ -56,7 +56,8 @@ def converse(current: DataFrame, turns: DataFrame, embed: services.Embed, genera
     last = rows.groupBy("conv_id").agg(F.max_by(F.struct("question", "history"), "exchange").alias("t")).select("conv_id", "t.*")
     depends = F.col("history").isNotNull() & conversation.looks_like_follow_up(F.col("question"))
     prompt = F.when(depends, F.concat(F.col("history"), F.lit("\n\nSON SORU: "), F.col("question")))
-    written = last.withColumn("w", conversation.rewrite(F.col("question"), F.col("history").isNotNull(), services.generate(prompt, generate)["text"]))
+    said = last.withColumn("said", services.generate(prompt, generate)).withColumn("said", F.col("said.text"))
+    written = said.withColumn("w", conversation.rewrite(F.col("question"), F.col("history").isNotNull(), F.col("said")))
     queries = written.select(F.col("conv_id").alias("query_id"), F.col("w.query").alias("text"), "history")
     found = ask(current, queries, embed, generate, params)
     return found.join(written.select(F.col("conv_id").alias("query_id"), "question", F.col("w.query").alias("rewritten_query"), F.col("w.was_follow_up").alias("was_follow_up")), "query_id")
