@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,10 +54,20 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with a per-task factory, so that models load once a task."""
+def drop_encoders() -> None:
+    """Frees the token encoders that an earlier operator left in this worker process."""
+    if loaded := sys.modules.get("tessera.llm.tokens"):
+        loaded._encoder.cache_clear()
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str, *, encodes: bool = False) -> DataFrame:
+    """``mapInArrow`` with a per-task factory, so that models load once a task.
+
+    Unless the step encodes tokens, encoders of earlier tasks make room for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            drop_encoders()
         step = None
         for batch in batches:
             if batch.num_rows:

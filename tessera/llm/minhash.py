@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_arrow, spread, strings
+from tessera.llm.common import cut, drop_encoders, map_arrow, spread, strings
 from tessera.llm.graph import components
 from tessera.llm.words import _U, groups, hash_words, mix, shingles
 
@@ -141,6 +141,7 @@ def _confirm_stars(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = met.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"), "doc_id")
 
     def run(batches):
+        drop_encoders()
         key, heads = None, []
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "head", "doc_id"))))
@@ -213,6 +214,7 @@ def _block_links(rest: DataFrame, docs: DataFrame) -> DataFrame:
     met = rows.join(_texts(docs).dropna(subset=["doc_id"]), rows.node == F.col("doc_id")).dropDuplicates(["meet", "node"])
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        drop_encoders()
         found = link_block(group["node"].to_pylist(), group["part"].to_pylist(), group["side"].to_pylist(), strings(group["text"]).to_pylist())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 

@@ -53,7 +53,7 @@ def cut_pieces(docs: DataFrame, *, capacity: int = 1024, end_id: int = 2, vocabu
 
         return step
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, PIECES, encodes=True)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray, int]:
