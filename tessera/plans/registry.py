@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions import text as T
-from tessera.operators import answer, chunking, conversation, dense, evaluate, fusion, identity, lexical, quality, scope, store
+from tessera.operators import answer, chunking, conversation, dense, evaluate, fusion, identity, lexical, quality, scope, services, store
 from tessera.params import DEFAULTS
 from tessera.sources import files
 
@@ -670,3 +670,56 @@ SELECT id, lang FROM r WHERE i % greatest(1, floor(n / share)) = 0 AND floor(i /
 def stratified_sample(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.expr("n_chars div 3").alias("tokens"))
     return evaluate.stratified_sample(rows, 80, stratum="lang").select("id", "lang")
+
+
+# --- further operators -----------------------------------------------------------------------------------------
+
+
+@register(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\s-]', '', 'g'), ' ' || chr(10))), '[-\s]+', '-', 'g')[1:100], '-'), ''), 'belge') AS slug FROM documents""")
+def slugs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
+@register("""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN trim(text, ' ' || chr(10)) WHEN 1 THEN '**Bir cümle.**' || chr(10) || trim(text, ' ' || chr(10)) ELSE trim(text, ' ' || chr(10)) END) AS shown_md5 FROM documents""")
+def strip_heading(spark, sf_dir):
+    n = F.col("doc_id") % 3
+    plain = T.strip(F.col("text"))
+    raw = F.when(n == 0, F.concat(F.lit("**Başlık**\n"), plain)).when(n == 1, F.concat(F.lit("**Bir cümle.**\n"), plain)).otherwise(F.concat(F.lit("### Cevap\n"), plain))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_leading_heading(raw)).alias("shown_md5"))
+
+
+@register()
+def condensed_answers(spark, sf_dir):
+    """Messages as a recap would show them: whole sentences of at most 120 tokens."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", conversation.condense(F.concat(F.col("text"), F.lit(" [KAYNAK 1]"))).alias("recap"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lexical.search(_texts(spark, sf_dir), _questions(spark, sf_dir), 3).join(_texts(spark, sf_dir), "id")
+    return hits.select("query_id", "id", "rank", "text", F.lit(None).cast("string").alias("document_title"), F.lit(None).cast("string").alias("article_ref"))
+
+
+@register("SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'NOT_FOUND' WHEN item_id % 3 = 1 THEN 'ANSWER' ELSE 'ANSWER_WEAK' END AS decision, item_id % 3 = 2 AS low_confidence, item_id % 3 = 0 AS refused FROM benchmark")
+def answer_states(spark, sf_dir):
+    """The gate decides who is answered: refused questions never reach the generator."""
+    decision = F.when(F.col("query_id") % 3 == 0, "NOT_FOUND").when(F.col("query_id") % 3 == 1, "ANSWER").otherwise("ANSWER_WEAK")
+    judged = _questions(spark, sf_dir).select("query_id", F.lit(0.5).alias("confidence"), decision.alias("decision"))
+    rows = answer.answer_all(_questions(spark, sf_dir), judged, _hits(spark, sf_dir), services.echo_generator)
+    return rows.select("query_id", "decision", "low_confidence", (F.col("status") == "not_found").alias("refused"))
+
+
+@register()
+def answers(spark, sf_dir):
+    """Retrieval, gate, budget, generation stand-in and citations for every question."""
+    index, texts, vectors, queries = _parts(spark, sf_dir)
+    fused, judged = fusion.answerable(index, texts, vectors, queries)
+    meta = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("document_title"), F.lit(None).cast("string").alias("article_ref"))
+    return answer.answer_all(queries.drop("embedding"), judged, fused.select("query_id", "id", "rank").join(meta, "id"), services.echo_generator)
+
+
+@register("SELECT doc_id, 64 AS size, true AS same FROM documents")
+def embedding_service(spark, sf_dir):
+    """Batched embedding with retries: vectors of one size, equal for equal texts."""
+    call = services.hashing_embedder(64)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", services.embed(F.col("text"), call).alias("a"), services.embed(F.col("text"), call).alias("b"))
+    return rows.select("doc_id", F.size("a").alias("size"), (F.col("a") == F.col("b")).alias("same"))

@@ -28,7 +28,7 @@ Converter = Callable[[bytes, str], list[tuple[int | None, str]]]
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, content of every file below root."""
+    """path, length, content of every file below root; Spark's file listing passes over empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
 
 

@@ -36,7 +36,6 @@ BLOBS = {
     "k.x": (b"PK\x03\x04broken", "zip"),
     "l.pdf": (b"<HTML><body>", "html"),
     "m.pdf": (b"<!DOCTYPE html>", "html"),
-    "n.pdf": (b"", "empty"),
     "o.pdf": (b" <html>", "unknown:203c6874"),
 }
 
@@ -58,6 +57,10 @@ def test_types_and_extraction(spark, folder):
     assert rows["h.x"].status == "skipped" and rows["a.docx"].doc_id.endswith("-a")
 
 
+def test_empty_content(spark):
+    assert spark.createDataFrame([(bytearray(b""),)], "c binary").select(files.detect_type(F.col("c")).alias("k")).first()["k"] == "empty"
+
+
 def test_converter_and_bad_files(spark, folder):
     def convert(blob, kind):
         if kind == "doc":

@@ -142,11 +142,13 @@ def test_embedding_service(spark):
     assert waits == [1, 2]
 
 
-def test_pipelines(spark):
+def test_pipelines(spark, tmp_path):
     text = "ELEKTRİK PİYASASI LİSANS YÖNETMELİĞİ\nKarar No: 10543\nMADDE 1 – Önlisans süresi yirmi dört aydır.\nMADDE 2 – Dağıtım bedeli kurul tarafından belirlenir."
     docs = spark.createDataFrame([("d1", "p/1", "sha1", "ok", [], text, None, [(None, text, False)])], "doc_id string, path string, file_sha256 string, status string, flags array<string>, text string, page_note string, pages array<struct<number:int,text:string,needs_ocr:boolean>>")
     embed = services.hashing_embedder()
-    current = pipelines.ingest(store.empty(spark), docs, embed).cache()
+    root = str(tmp_path / "store")
+    store.write_snapshot(pipelines.ingest(store.read_snapshot(spark, root), docs, embed), root)
+    current = store.read_snapshot(spark, root)
     assert current.where("active AND indexable").count() == 2
     found = pipelines.ask(current, spark.createDataFrame([(0, "önlisans süresi yirmi dört aydır"), (1, "rafineri stok")], "query_id long, text string"), embed, services.echo_generator, Params())
     rows = {r.query_id: r for r in found.collect()}
