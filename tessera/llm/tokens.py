@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import sys
 from itertools import filterfalse
 
@@ -18,6 +19,7 @@ import numpy as np
 
 END_MARK = "<|endoftext|>"
 ENCODED_AT_ONCE = 4000
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -42,6 +44,7 @@ class UnitEncoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
+        self.marks = dict(zip(",.", self.whole([",", "."])))
         self.opens = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
@@ -75,16 +78,22 @@ class UnitEncoder:
         unknown: set[str] = set()
         for units in split:
             unknown.update(filterfalse(self.new.__contains__, units))
-        missing, odd = [], set()
+        missing, ended, odd = [], [], set()
         for u in unknown:
             if (known := self.old.get(u)) is not None:
                 self.new[u] = known
             elif not u or u[0].isspace() or u[0] in "\x1c\x1d\x1e\x1f\x85":
                 odd.add(u)
+            elif PLAIN(u):  # letters, then a mark that is always a piece of its own
+                ended.append(u)
+                if u[:-1] not in self.new and u[:-1] not in unknown:
+                    missing.append(u[:-1])
             else:
                 missing.append(u)
         if missing:
-            self._learn(missing)
+            self._learn(list(dict.fromkeys(missing)))
+        for u in ended:
+            self.new[u] = self.new[u[:-1]] + self.marks[u[-1]]
         first = dict(zip(distinct := list(set(heads)), self.whole(distinct)))
         get, out = self.new.__getitem__, []
         for text, head, units in zip(texts, heads, split):
