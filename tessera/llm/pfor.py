@@ -7,7 +7,7 @@ A segment is one self-contained byte string (all numbers little-endian):
     u32 minimum, u8 width, u32 payload start and u32 first exception of each block
     u32 payload words; u16 place and u32 value of each exception
 
-A block holds ``block`` values less their minimum, packed at the width that a
+A block holds ``block`` values (a multiple of 32) less their minimum, packed at the width that a
 chosen percentile of them needs; larger ones stand in the exception list and
 leave zero bits in the payload.  The starts make any block readable alone.
 """
@@ -26,34 +26,35 @@ def bit_widths(values: np.ndarray) -> np.ndarray:
     return np.where(values > 0, np.floor(np.log2(np.maximum(values, 1).astype(np.float64))) + 1, 0).astype(np.uint8)
 
 
-def pack(lanes: np.ndarray, width: int) -> np.ndarray:
-    """lanes: (block, m) values below 2**width; gives (m, words) u32."""
-    block, m = lanes.shape
-    words = np.zeros((-(-block * width // 32), m), np.uint32)
-    for j in range(block if width else 0):
+def pack(values: np.ndarray, width: int) -> np.ndarray:
+    """values: (m, block) u32 below 2**width; gives (m, words) u32.  32 values fill width words exactly."""
+    lanes = np.ascontiguousarray(values.reshape(-1, 32).T)
+    words = np.zeros((width, lanes.shape[1]), np.uint32)
+    for j in range(32):
         word, shift = divmod(j * width, 32)
         words[word] |= lanes[j] << np.uint32(shift)
         if shift + width > 32:
             words[word + 1] |= lanes[j] >> np.uint32(32 - shift)
-    return words.astype("<u4").T
+    return words.T.reshape(len(values), -1)
 
 
 def unpack(words: np.ndarray, width: int, block: int) -> np.ndarray:
     """words: (m, words) u32; gives (m, block) u32."""
-    m = len(words)
-    out = np.zeros((block, m), np.uint32)
-    lanes = np.ascontiguousarray(words.T).astype(np.uint32)
+    groups = np.ascontiguousarray(words.reshape(-1, width).T)
+    out = np.empty((32, groups.shape[1]), np.uint32)
     mask = np.uint32((1 << width) - 1)
-    for j in range(block if width else 0):
+    for j in range(32):
         word, shift = divmod(j * width, 32)
-        value = lanes[word] >> np.uint32(shift)
+        value = groups[word] >> np.uint32(shift)
         if shift + width > 32:
-            value = value | lanes[word + 1] << np.uint32(32 - shift)
-        out[j] = value & mask
-    return out.T
+            value |= groups[word + 1] << np.uint32(32 - shift)
+        np.bitwise_and(value, mask, out=out[j])
+    return out.T.reshape(len(words), block)
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = 256, percentile: float = 95.0) -> bytes:
+    if block % 32:
+        raise ValueError("a block must hold a multiple of 32 values")
     n = len(ids)
     blocks = -(-n // block)
     padded = np.empty(blocks * block, np.uint32)
@@ -69,12 +70,12 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     rows, places = np.nonzero(over)
     values = delta[rows, places]
     delta[over] = 0
-    size = -(-block * widths.astype(np.int64) // 32)
+    size = block // 32 * widths.astype(np.int64)
     starts = np.cumsum(size) - size
     payload = np.zeros(int(size.sum()), "<u4")
     for width in np.unique(widths):
         if which := list(np.flatnonzero(widths == width)) if width else []:
-            packed = pack(np.ascontiguousarray(delta[which].T), int(width))
+            packed = pack(delta[which], int(width))
             payload[(starts[which][:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
     first = np.searchsorted(rows, np.arange(blocks))
     return b"".join((
@@ -111,7 +112,7 @@ class Segment:
         self.doc_ids = [None if z else d for d, z in zip(ids.tolist(), null.tolist())]
         self.lengths = take("<u4", docs)
         self.low, self.widths, self.starts, self.first = take("<u4", self.blocks), take("u1", self.blocks), take("<u4", self.blocks), take("<u4", self.blocks)
-        self.payload = take("<u4", int((-(-self.block * self.widths.astype(np.int64) // 32)).sum()))
+        self.payload = take("<u4", int((self.block // 32 * self.widths.astype(np.int64)).sum()))
         self.places, self.values = take("<u2", odd), take("<u4", odd)
 
     def decode_blocks(self, begin: int, end: int) -> np.ndarray:
@@ -121,7 +122,7 @@ class Segment:
         for width in np.unique(widths):
             which = np.flatnonzero(widths == width)
             if width:
-                words = -(-self.block * int(width) // 32)
+                words = self.block // 32 * int(width)
                 out[which] = unpack(self.payload[self.starts[begin:end][which][:, None].astype(np.int64) + np.arange(words)], int(width), self.block)
         bounds = np.append(self.first, len(self.places))
         some = slice(int(bounds[begin]), int(bounds[end]))
