@@ -51,9 +51,8 @@ def word_count(c: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Folded lower-case runs of letters and digits, without stop words and single characters."""
-    stop = F.array(*(F.lit(w) for w in sorted(fixed.STOP_WORDS)))
     found = F.regexp_extract_all(F.lower(fold_diacritics(c)), F.lit("[a-z0-9]+"), 0)
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*sorted(fixed.STOP_WORDS)))
 
 
 def folded_words(c: Column) -> Column:

@@ -16,7 +16,7 @@ from tessera import fixed
 from tessera.functions import text as T
 from tessera.operators import answer, chunking, conversation, dense, evaluate, fusion, identity, lexical, quality, scope, services, store
 from tessera.params import DEFAULTS
-from tessera.sources import files
+from tessera.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,11 +34,12 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = tables.read(spark, sf_dir, name)
+    return tables.balanced(rows) if name == "documents" else rows
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tables.balanced(tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
