@@ -9,9 +9,8 @@ repeats, keyboard walks and brute-force spans, plus the orderings of the segment
 
 Spans count code points of the text as given, ends exclusive.  An assign span is the whole
 match.  Cases: null or empty text has no spans; null doc_id passes through;
-repeated rows are scanned alike; an empty table gives no rows; values longer than
-``WHOLE`` are segmented in their first ``WHOLE`` characters only to find the cost, which
-then already is far above any threshold; the span still holds the whole value.
+repeated rows are scanned alike; an empty table gives no rows; values of any length are
+segmented whole, and left early only where every continuation stays at or over the threshold.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import hashlib
 import math
 import re
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +34,6 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(r"(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|auth|authorization|bearer|credentials?|private[_-]?key)[\"']?(?:\x20*(?:[:=]|=>)\x20*|\x20is\x20|\x20)[\"']?(?:bearer\x20)?([^\s\"'<>,;]{6,})", re.IGNORECASE | re.ASCII)
 CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "bearer", "credential")
 LEAST_LOG10 = 9.0
-WHOLE = 64
 
 # Common words of passwords, most frequent first; a word's guesses are its rank.
 WORDS = (
@@ -57,61 +56,94 @@ STEP = {w[k : k + 2] for row in WALKS for w in (row, row[::-1]) for k in range(l
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
+# A part of 1 to 8 characters twice or more, and a walk, as long as they go on.
+AGAIN = [re.compile(rf"(.{{{size}}})\1++", re.DOTALL) for size in range(1, 9)]
+WALK = re.compile("(?:" + "|".join(f"{a}(?=[{''.join(sorted(w[1] for w in STEP if w[0] == a))}])" for a in sorted({w[0] for w in STEP})) + ")*+.", re.DOTALL)
+
+
 def _pool(c: str) -> int:
     return 10 if c.isdigit() and c.isascii() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
+def _orders(k: int) -> float:
+    return math.lgamma(k + 1) / math.log(10)
+
+
+def _begin(value: str, low: str, plain: str, i: int) -> list[tuple[int, int, float, str]]:
+    """The segments other than brute force that begin at i."""
+    found, n = [], len(value)
+    for j in range(i + 3, min(n, i + LONGEST) + 1):
+        rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        if rank:
+            case = sum(c.isupper() for c in value[i:j])
+            odd = low[i:j] not in RANK
+            found.append((i, j, math.log10(rank * (1 if not case else 2 if value[i].isupper() and case == 1 else 2**case) * (4 if odd else 1) + 1), "word"))
+    for size, again in enumerate(AGAIN, 1):  # a part, again and again
+        m = again.match(value, i)
+        if m and m.end() - i >= 3:
+            found.append((i, m.end(), math.log10(sum(map(_pool, m[1])) ** min(size, 4) * (m.end() - i) // size + 1), "repeat"))
+    m = WALK.match(low, i)
+    if m and m.end() - i >= 3:
+        found.append((i, m.end(), math.log10(47 * (m.end() - i) * 8), "walk"))
+    m = DATE.match(value, i)
+    if m:
+        found.append((i, m.end(), math.log10(365 * 120 if len(m[0]) > 4 else 120), "date"))
+    return found
+
+
 def segments(value: str) -> list[tuple[int, int, float, str]]:
     """All dictionary, date, repeat and walk segments: start, end, log10 guesses, class."""
-    low, found = value.lower(), []
-    plain, n = low.translate(LEET), len(value)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
-            if rank:
-                case = sum(c.isupper() for c in value[i:j])
-                odd = low[i:j] not in RANK
-                found.append((i, j, math.log10(rank * (1 if not case else 2 if value[i].isupper() and case == 1 else 2**case) * (4 if odd else 1) + 1), "word"))
-        for size in range(1, min(8, (n - i) // 2) + 1):  # a part, again and again
-            j = i + size
-            while value.startswith(value[i : i + size], j):
-                j += size
-            if j - i >= 2 * size and j - i >= 3:
-                found.append((i, j, math.log10(sum(map(_pool, value[i : i + size])) ** min(size, 4) * (j - i) // size + 1), "repeat"))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in STEP:
-            j += 1
-        if j - i >= 3:
-            found.append((i, j, math.log10(47 * (j - i) * 8), "walk"))
-        for m in (DATE.match(value, i),):
-            if m:
-                found.append((i, m.end(), math.log10(365 * 120 if len(m[0]) > 4 else 120), "date"))
-    return found
+    low = value.lower()
+    plain = low.translate(LEET)
+    return [x for i in range(len(value)) for x in _begin(value, low, plain, i)]
 
 
 @lru_cache(maxsize=20_000)
-def guess_cost(value: str) -> float:
-    """log10 of the least guesses over all segmentations of the value."""
-    value = value[:WHOLE]
-    n = len(value)
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, _ in segments(value):
-        ending[j].append((i, cost))
-    brute = [0.0]
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the least guesses over all segmentations of the whole value, or ``enough`` if they aren't fewer.
+
+    Costs only grow along a segmentation: a beginning that already costs ``enough``, or as much as a whole
+    segmentation that is known, is followed no further."""
+    n, low = len(value), value.lower()
+    plain = low.translate(LEET)
+    if not n:
+        return 0.0
+    least = 1.0  # of the segmentations seen: at first, all by brute force
     for c in value:
-        brute.append(brute[-1] + math.log10(_pool(c)))
-    most = n + 1
-    # best[j][k]: least cost of the first j characters in k segments; orderings cost log10 k!.
-    best = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for j in range(1, n + 1):
-        options = ending[j] + [(i, brute[j] - brute[i] + 1.0) for i in range(j)]
-        for i, cost in options:
-            row = best[i]
-            for k in range(min(i, 12) + 1):
-                if row[k] + cost < best[j][k + 1]:
-                    best[j][k + 1] = row[k] + cost
-    return min((best[n][k] + math.log10(math.factorial(k)) for k in range(most + 1) if best[n][k] < math.inf), default=0.0)
+        least += math.log10(_pool(c))
+        if least >= enough:
+            break
+    least = min(least, enough)
+    # live[j][k]: least cost of the first j characters in k segments; orderings cost log10 k!.
+    live: dict[int, dict[int, float]] = {0: {0: 0.0}}
+    ends = [0]
+    while ends:
+        i = heappop(ends)
+        at = {k: cost for k, cost in live.pop(i).items() if cost + _orders(k) < least}
+        if not at:
+            continue
+        lowest, steps = min(at.values()), [(j, cost) for _, j, cost, _ in _begin(value, low, plain, i)]
+        brute, j = 1.0, i
+        while j < n:
+            brute += math.log10(_pool(value[j]))
+            j += 1
+            if lowest + brute >= least:
+                break
+            steps.append((j, brute))
+        for j, step in steps:
+            for k, cost in at.items():
+                total = cost + step
+                if total + _orders(k + 1) >= least:
+                    continue
+                if j == n:
+                    least = total + _orders(k + 1)
+                    continue
+                if j not in live:
+                    live[j] = {}
+                    heappush(ends, j)
+                if total < live[j].get(k + 1, math.inf):
+                    live[j][k + 1] = total
+    return least
 
 
 def scan(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, str, int, str]]:
@@ -124,7 +156,7 @@ def scan(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, str, in
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     low = text.lower()
     if any(h in low for h in CONTEXT_HINTS):
-        found += [(m.start(1), 3, m.end(1), m[1]) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= least_log10]
+        found += [(m.start(1), 3, m.end(1), m[1]) for m in CONTEXT.finditer(text) if guess_cost(m[1], least_log10) >= least_log10]
     return [(s, KINDS[k], e, v) for s, k, e, v in sorted(found)]
 
 

@@ -63,3 +63,18 @@ def test_edges(edges, nothing):
     assert S.scan_documents(nothing).count() == 0
     long = "token=" + "aZ9" * 50_000
     assert S.scan(long)[0][2] == len(long)
+
+
+@pytest.mark.parametrize("start", ["x" * 64, "password" * 8, "qw" * 32, "z" * 100_000])
+def test_strong_tail_of_a_long_value(docs, start):
+    text = f"pwd: {start}9Kq!z7Rm#2Lv"
+    assert S.guess_cost(start, S.LEAST_LOG10) < S.LEAST_LOG10
+    assert [(k, e) for _, k, e, _ in S.scan(text)] == [("guess", len(text))]
+    assert docs([text]).select(S.redacted(F.col("text"))).first()[0] == "pwd: [SECRET]"
+
+
+def test_early_stop_tells_the_same():
+    for value in ("password", "dragon1999", "qwertyuiop", "x9Kq!z", "x9Kq!z7R", "aaaaaaaaaaaa1b", "hello2hello2you"):
+        for enough in (2.0, 6.0, 9.0, 12.0):
+            assert S.guess_cost(value, enough) == pytest.approx(min(S.guess_cost(value), enough))
+    assert S.guess_cost("x9Kq!z7" * 30_000 + "\n", 9.0) == 9.0
