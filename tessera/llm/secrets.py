@@ -7,6 +7,10 @@ sum of log10 guesses over its segmentations into dictionary words, dates,
 repeats, keyboard walks and brute-force spans, plus the orderings of the segments.  A value at or over
 ``least_log10`` is a span of kind guess: such strings aren't placeholders or plain words.
 
+A value ends before its closing quote, or, without one, before the first blank, quote, angle
+bracket, comma or semicolon; behind auth and authorization the word after the scheme is judged too.  A keyword that
+another keyword's value begins with is a context of its own.
+
 Spans count code points of the text as given, ends exclusive.  An assign span is the whole
 match.  Cases: null or empty text has no spans; null doc_id passes through;
 repeated rows are scanned alike; an empty table gives no rows; values of any length are
@@ -31,7 +35,13 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|auth|authorization|bearer|credentials?|private[_-]?key)[\"']?(?:\x20*(?:[:=]|=>)\x20*|\x20is\x20|\x20)[\"']?(?:bearer\x20)?([^\s\"'<>,;]{6,})", re.IGNORECASE | re.ASCII)
+# A keyword and its separator.
+CONTEXT = re.compile(r"(?<![A-Za-z0-9])(pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|auth|authorization|bearer|credentials?|private[_-]?key)[\"']?(?:\x20*(?:=>|[:=])\x20*|\x20is\x20|\x20)", re.IGNORECASE | re.ASCII)
+BARE = re.compile(r"[^\s\"'<>,;]*+")
+# What stands before a closing quote of the same line; an apostrophe inside a word closes nothing.
+QUOTED = {'"': re.compile(r"(?:\\.|[^\"\\\r\n])*+(?=\"(?!\w))"), "'": re.compile(r"(?:\\.|[^'\\\r\n]|(?<=\w)'(?=\w))*+(?=')")}
+BEARER = re.compile(r"bearer\x20", re.IGNORECASE | re.ASCII)
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9-]*+\x20++")
 CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "bearer", "credential")
 LEAST_LOG10 = 9.0
 
@@ -146,6 +156,47 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return least
 
 
+def _opens(text: str, at: int) -> tuple[int, int | None]:
+    """Begin of the value at a place, and its end if it stands in quotes."""
+    quoted = QUOTED.get(text[at : at + 1])
+    if quoted:
+        at += 1
+        if m := quoted.match(text, at):
+            scheme = BEARER.match(text, at, m.end())
+            return scheme.end() if scheme else at, m.end()
+    return at, None
+
+
+def guesses(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, int]]:
+    """Begins and ends of the values in credential contexts that cost ``least_log10`` or more.
+
+    The search goes on behind a value that is a span, and else behind the keyword.  Where a value begins with
+    a keyword and separator of its own, the inner value goes first and the outer counts only if that one is none."""
+    found, at = [], 0
+
+    def judge(begin: int, end: int | None) -> bool:
+        nonlocal at
+        end = BARE.match(text, begin).end() if end is None else end
+        strong = end - begin >= 6 and guess_cost(text[begin:end], least_log10) >= least_log10
+        if strong:
+            found.append((begin, end))
+            at = max(at, end)
+        return strong
+
+    while m := CONTEXT.search(text, at):
+        chain = [(m, *_opens(text, m.end()))]
+        while chain[-1][2] is None and (m := CONTEXT.match(text, chain[-1][1])):
+            chain.append((m, *_opens(text, m.end())))
+        at = chain[-1][0].end(1)
+        for m, begin, end in reversed(chain):
+            strong = judge(begin, end)
+            if m[1].lower().startswith("auth") and end is None and (scheme := SCHEME.match(text, begin)) and scheme.end() >= at and not CONTEXT.match(text, scheme.end()):
+                strong |= judge(*_opens(text, scheme.end()))
+            if strong:
+                break
+    return found
+
+
 def scan(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, str, int, str]]:
     """Spans as (start, kind, end, secret value), by start and then kind as listed."""
     found = []
@@ -156,7 +207,7 @@ def scan(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, str, in
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     low = text.lower()
     if any(h in low for h in CONTEXT_HINTS):
-        found += [(m.start(1), 3, m.end(1), m[1]) for m in CONTEXT.finditer(text) if guess_cost(m[1], least_log10) >= least_log10]
+        found += [(begin, 3, end, text[begin:end]) for begin, end in guesses(text, least_log10)]
     return [(s, KINDS[k], e, v) for s, k, e, v in sorted(found)]
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -78,3 +79,34 @@ def test_early_stop_tells_the_same():
         for enough in (2.0, 6.0, 9.0, 12.0):
             assert S.guess_cost(value, enough) == pytest.approx(min(S.guess_cost(value), enough))
     assert S.guess_cost("x9Kq!z7" * 30_000 + "\n", 9.0) == 9.0
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("auth token: P@ss#9!kQ2vL now", "P@ss#9!kQ2vL"),
+        ("bearer token: P@ss#9!kQ2vL", "P@ss#9!kQ2vL"),
+        ("secret password: P@ss#9!kQ2vL", "P@ss#9!kQ2vL"),
+        ("auth token:P@ss#9!kQ2vL", "P@ss#9!kQ2vL"),
+        ("secret pin:a!b@c#D9$e", "a!b@c#D9$e"),
+        ("pwd: changeme token P@ss#9!kQ2vL", "P@ss#9!kQ2vL"),
+        ("Authorization: Basic cm9vdDp4SzltUTI=", "cm9vdDp4SzltUTI="),
+        ('"Authorization": "Bearer P@ss#9!kQ2vL"', "P@ss#9!kQ2vL"),
+        ('passphrase: "correct horse, battery; staple" ends', "correct horse, battery; staple"),
+        ("passphrase = 'it doesn't rain in zanzibar'", "it doesn't rain in zanzibar"),
+        ('pwd "P@ss#9!kQ2vL', "P@ss#9!kQ2vL"),
+    ],
+)
+def test_values_behind_keywords(text, value):
+    assert text.replace(value, "[SECRET]") == S.redact(text, [x for x in S.scan(text) if x[1] == "guess"])
+
+
+def test_word_behind_a_scheme():
+    assert "P@ss#9!kQ2vL" in [v for _, _, _, v in S.scan("Authorization: Digest P@ss#9!kQ2vL")]
+
+
+def test_many_keywords_take_linear_time():
+    began = time.monotonic()
+    for part in ("token:", "pin:a/", 'password "', "pin='a' ", "auth ", "pin 'a'"):
+        S.scan(part * 40_000)
+    assert time.monotonic() - began < 30
