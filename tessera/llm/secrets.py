@@ -3,7 +3,7 @@
 Fixed patterns give spans of kinds assign, access and hex.  Beside them, each value
 that stands in a credential context (a word such as password, pwd, passphrase,
 auth or bearer, then a separator) is judged by dynamic programming: the least
-sum of log10 guesses over its segmentations into dictionary words, dates,
+sum of log10 guesses over its segmentations into dictionary words (by rank, see ``ranks``), marks, dates,
 repeats, keyboard walks and brute-force spans, plus the orderings of the segments.  A value at or over
 ``least_log10`` is a span of kind guess: such strings aren't placeholders or plain words.
 
@@ -19,17 +19,21 @@ segmented whole, and left early only where every continuation stays at or over t
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, strings
+from tessera.llm.tokens import vocabulary_file
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -45,7 +49,7 @@ SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9-]*+\x20++")
 CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "bearer", "credential")
 LEAST_LOG10 = 9.0
 
-# Common words of passwords, most frequent first; a word's guesses are its rank.
+# Common words of passwords, most frequent first, ranked before all other words.
 WORDS = (
     "password qwerty admin welcome login letmein monkey dragon master hello secret token "
     "changeme example test user root pass guest default sample dummy temp public private "
@@ -56,8 +60,8 @@ WORDS = (
     "tiger eagle horse rabbit lucky happy angel star moon magic power hunter ranger "
     "the and you your here none null true false value string insert enter replace"
 ).split()
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+# Marks that prose has beside words.
+MARKS = ".:!?()[]-/_*"
 # Rows of the usual keyboard, and plain successions.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
 # Letters commonly written as other signs.
@@ -71,6 +75,21 @@ AGAIN = [re.compile(rf"(.{{{size}}})\1++", re.DOTALL) for size in range(1, 9)]
 WALK = re.compile("(?:" + "|".join(f"{a}(?=[{''.join(sorted(w[1] for w in STEP if w[0] == a))}])" for a in sorted({w[0] for w in STEP})) + ")*+.", re.DOTALL)
 
 
+@lru_cache(maxsize=1)
+def ranks() -> tuple[dict[str, int], int]:
+    """Words by rank, which is what a word costs in guesses, and the length of the longest.
+
+    Behind WORDS come the words that begin with a blank in two public vocabularies, an English one and one of
+    many languages, in turns; a vocabulary lists frequent words first."""
+    with open(vocabulary_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        english = json.load(f)["model"]["vocab"]
+    with open(vocabulary_file("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        many = {base64.b64decode(token).decode("utf-8", "replace"): int(rank) for token, rank in map(bytes.split, f)}
+    lists = [[t[1:].lower() for t in sorted(v, key=v.get) if t[0] == blank and len(t) > 3 and t[1:].isalpha()] for v, blank in (({t: i for t, i in english.items() if t[1:].isascii()}, "Ġ"), (many, " "))]
+    words = dict.fromkeys([*WORDS, *(w for pair in zip_longest(*lists) for w in pair if w)])
+    return {w: k + 1 for k, w in enumerate(words)}, max(map(len, words))
+
+
 def _pool(c: str) -> int:
     return 10 if c.isdigit() and c.isascii() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
@@ -82,11 +101,14 @@ def _orders(k: int) -> float:
 def _begin(value: str, low: str, plain: str, i: int) -> list[tuple[int, int, float, str]]:
     """The segments other than brute force that begin at i."""
     found, n = [], len(value)
-    for j in range(i + 3, min(n, i + LONGEST) + 1):
-        rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+    rank_of, longest = ranks()
+    if value[i] in MARKS:
+        found.append((i, i + 1, math.log10(_pool(value[i])), "mark"))
+    for j in range(i + 3, min(n, i + longest) + 1):
+        rank = rank_of.get(low[i:j]) or rank_of.get(plain[i:j])
         if rank:
             case = sum(c.isupper() for c in value[i:j])
-            odd = low[i:j] not in RANK
+            odd = low[i:j] not in rank_of
             found.append((i, j, math.log10(rank * (1 if not case else 2 if value[i].isupper() and case == 1 else 2**case) * (4 if odd else 1) + 1), "word"))
     for size, again in enumerate(AGAIN, 1):  # a part, again and again
         m = again.match(value, i)
@@ -102,7 +124,7 @@ def _begin(value: str, low: str, plain: str, i: int) -> list[tuple[int, int, flo
 
 
 def segments(value: str) -> list[tuple[int, int, float, str]]:
-    """All dictionary, date, repeat and walk segments: start, end, log10 guesses, class."""
+    """All dictionary, mark, date, repeat and walk segments: start, end, log10 guesses, class."""
     low = value.lower()
     plain = low.translate(LEET)
     return [x for i in range(len(value)) for x in _begin(value, low, plain, i)]

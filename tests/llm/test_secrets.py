@@ -110,3 +110,13 @@ def test_many_keywords_take_linear_time():
     for part in ("token:", "pin:a/", 'password "', "pin='a' ", "auth ", "pin 'a'"):
         S.scan(part * 40_000)
     assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("text", ["a secret garden", "the pin number", "the password is required.", "a token budget", "Secret Service agents", "password (optional)", "token expired, pin questionnaire", "auth pin: required", "a well-known passphrase: everything", "bearer certificates", "token Sicherheit", "Authorization: Digest username"])
+def test_prose_behind_a_keyword(docs, text):
+    assert S.scan_documents(docs([text])).first().n_guess == 0
+    assert docs([text]).select(S.redacted(F.col("text"))).first()[0] == text
+
+
+def test_scheme_is_no_secret():
+    assert [v for _, _, _, v in S.scan("Authorization: Digest P@ss#9!kQ2vL")] == ["P@ss#9!kQ2vL"]
