@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own if unset.
 
-    A local master gets a folder under /tmp/checkpoints; any other master gets a
-    path on the default file system, never a machine-local one.
+    Where neither is set, a master that runs in this process gets a folder under /tmp/checkpoints;
+    on a cluster only its owner knows what is shared, so that is an error.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = f"file:///tmp/checkpoints/{sc.applicationId}" if sc.master.startswith("local") and not sc.master.startswith("local-cluster") else "tessera-checkpoints"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file:///tmp/checkpoints/{sc.applicationId}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
@@ -43,6 +45,39 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Workspace:
+    """Tables that an operator writes to the shared folder for itself: ``put`` one, ``drop`` it, or leave all to ``close``.
+
+    What outlives the operator must not read them any more (see ``cut``)."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.at, self.paths = spark, scratch(spark, name), {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path, table in self.paths.items():
+            if any(table is t for t in tables):
+                self._delete(path)
+                self.paths[path] = None
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,6 +113,27 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+SIEVE_BITS = 24
+
+
+def sieve(keys: Column, df: DataFrame) -> DataFrame:
+    """A set of hashes of keys, as rows of bits: 2 MB at most, whatever the number of keys."""
+    place = F.pmod(F.xxhash64(keys), F.lit(1 << SIEVE_BITS))
+    return df.groupBy(F.shiftright(place, 15).alias("sieve_row")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("sieve_bits"))
+
+
+def sifted(df: DataFrame, key: Column, rows: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column ``name``: false only where the key is in no row that ``sieve`` saw.
+
+    A broadcast of at most 2 MB; it spares rows a shuffle, and a join has the last word on those that pass."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
+    at = place.bitwiseAND(32767)
+    byte = F.conv(F.hex(F.col("sieve_bits").substr(F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    out = df.join(F.broadcast(rows), F.shiftright(place, 15) == F.col("sieve_row"), "left")
+    return out.withColumn(name, F.coalesce(hit, F.lit(False))).drop("sieve_row", "sieve_bits")
+
+
 def spread(column: Column, n: int | Column) -> Column:
     """A bucket from 0 to n - 1 by the column's hash."""
     return F.pmod(F.xxhash64(column), F.lit(n) if isinstance(n, int) else n)

@@ -1,24 +1,27 @@
 """Operator 4: near-duplicates by a signature-coordinate inverted join.
 
 1. Each text's set of five-word shingles gives a digest and ``COORDINATES`` MinHash values.
-   Documents with equal sets form a class; its least doc_id stands for it.
+   Rows with equal sets form a class, which is a node of its own.
 2. A class is posted under its (coordinate, value) pairs.  Pairs that no other class
    has are dropped; a class with fewer than ``MATCH`` shared ones can't have
    ``MATCH`` collisions with any other.  Of the rest, only a prefix in order of rising
    frequency is posted: two classes with MATCH collisions meet in the prefixes.
-3. In each posting list the least class is compared with the others: collisions
-   of whole signatures are counted, pairs below MATCH dropped, the rest confirmed on full sets.
-   Lists whose classes are by then in one component are skipped.
-4. What remains of a list (classes of different components) is compared block by block, in
-   bounded groups: again collisions, then full sets; a group reports only links that join components.
+3. A list is open while its classes are of different components.  For lists with more minor classes (see 4) than
+   a group holds rounds of leaders go first, as long as each halves what is open: one class of each list leads, every other
+   follows the leader it has most collisions with, and pairs similar on full sets are joined.
+4. What stays open is compared for good.  All classes of a list but those of its largest component
+   are its minor ones.  Minor classes of the same longest list form groups of bounded size; a group is
+   compared with all classes that share a list with it, once, however many lists they share.
+   Comparing is: collisions of signatures, pairs below MATCH dropped, the rest confirmed on full sets
+   unless joined already; a group reports only links that join components.
    No list is capped, and no list's pairs are written out.
 
 A linked pair at similarity 0.75 has fewer than MATCH of COORDINATES collisions with
 probability 1e-6 (``miss_probability``); that is the only way to lose a link.
 
 Cases: null or empty text, or text without words, has an empty set and no links;
-fewer than five words count as one shingle; rows that repeat a doc_id share a node, and
-each row has the component of its own text's class; null doc_id links with nothing, has a null component and is kept; an empty table
+fewer than five words count as one shingle; rows that repeat a doc_id with another text are documents of
+their own; null doc_id links with nothing, has a null component and is kept; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -33,18 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_encoders, map_arrow, spread, strings
-from tessera.llm.graph import components
+from tessera.llm.common import Workspace, cut, drop_encoders, map_arrow, sieve, sifted, spread, strings
+from tessera.llm.graph import star_forest
 from tessera.llm.words import _U, groups, hash_words, mix, shingles
 
 SHINGLE = 5
 COORDINATES = 48
 MATCH = 21
 SIMILAR = 75  # per cent
-BLOCK = 256
-MEMBERS_A_GROUP = 64
-
-_TEXT = "doc_id long, text string"
+HEADS = 256  # minor classes of a group, about
+HEAD_ITEMS = 1 << 21  # and their shingles, about
+MEMBERS = 2048  # others that a task compares with them, about
 
 
 def miss_probability(similarity: float = 0.75, coordinates: int = COORDINATES, match: int = MATCH) -> float:
@@ -87,173 +89,239 @@ def similar(a: np.ndarray, b: np.ndarray, per_cent: int = SIMILAR) -> bool:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its signature (null for an empty set)."""
+    """doc_id, text_key (a hash of the text), n_shingles, digest of the set, and its signature (null for an empty set)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, digests, values = [], [], []
-            for items in shingle_sets(strings(batch.column(1)).to_pylist()):
+            for items in shingle_sets(strings(batch.column("text")).to_pylist()):
                 sizes.append(len(items))
                 digests.append(hashlib.blake2b(items, digest_size=16).digest() if len(items) else None)
                 values.append(signature(items) if len(items) else None)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "sig"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int32()))], names=["doc_id", "text_key", "n_shingles", "digest", "sig"])
 
         return step
 
-    return map_arrow(_texts(docs), make, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return map_arrow(_texts(docs), make, "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def prefix_postings(reps: DataFrame) -> DataFrame:
-    """token, node: the posting lists of prefixes.  reps: node, sig."""
-    tokens = reps.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
-    shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+def prefix_postings(classes: DataFrame, work: Workspace) -> DataFrame:
+    """token, node: the posting lists of prefixes.  classes: node, sig."""
+    tokens = classes.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
+    shared = work.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     own = Window.partitionBy("node")
     ranked = tokens.join(shared, "token").withColumns({"c": F.count(F.lit(1)).over(own), "r": F.row_number().over(own.orderBy("df", "token"))})
-    return ranked.where(f"c >= {MATCH} AND r <= c - {MATCH - 1}").select("token", "node")
-
-
-def _collisions(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) with MATCH collisions or more."""
-    sides = [reps.select(F.col("node").alias(n), F.col("sig").alias(f"sig_{n}")) for n in ("a", "b")]
+    postings = work.put(ranked.where(f"c >= {MATCH} AND r <= c - {MATCH - 1}").select("token", "node"))
+    work.drop(shared)
+    return postings
+
+
+def open_lists(postings: DataFrame, work: Workspace) -> DataFrame:
+    """token, node, part, minor, n, minors: the lists whose classes are of different components, with their classes and minor classes.  postings: token, node, part."""
+    counts = postings.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n"))
+    tops = work.put(counts.groupBy("token").agg(F.max(F.struct("n", F.negative("part").alias("p"))).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", (-F.col("top.p")).alias("top"), "n", (F.col("n") - F.col("top.n")).alias("minors")))
+    found = work.put(postings.join(tops, "token").select("token", "node", "part", (F.col("part") != F.col("top")).alias("minor"), "n", "minors"))
+    work.drop(tops)
+    return found
+
+
+def minor_groups(opened: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
+    """opened with g, the group of a class that is minor in any list (else null).
+
+    A class's home is its longest list; then the home that most others of its lists have, so that few groups share a list."""
+    minors = opened.where("minor").select("token", "node", "n")
+    first = work.put(minors.groupBy("node").agg(F.max(F.struct("n", "token")).getField("token").alias("home")))
+    held = work.put(first.groupBy("home").agg(F.count(F.lit(1)).alias("held")))
+    usual = work.put(minors.join(first.join(held, "home"), "node").groupBy("token").agg(F.max(F.struct("held", "home")).alias("usual")))
+    homes = minors.join(usual, "token").groupBy("node").agg(F.max("usual").getField("home").alias("home"))
+    homes = work.put(homes.join(classes.select("node", "n_shingles"), "node"))
+    sizes = work.put(homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / HEADS), F.ceil(F.sum("n_shingles") / HEAD_ITEMS)).alias("k")))
+    heads = homes.join(sizes, "home").select("node", F.xxhash64("home", spread(F.col("node"), F.col("k"))).alias("g"))
+    grouped = work.put(opened.join(heads, "node", "left"))
+    work.drop(first, held, usual, homes, sizes)
+    return grouped
+
+
+def group_members(grouped: DataFrame, work: Workspace) -> DataFrame:
+    """g, node, part, head: the classes of each group, and all others that it must be compared with.
+
+    Two minor classes of a list in different groups meet in one of these only."""
+    meets = work.put(grouped.where("minor").select("token", F.col("g").alias("to")).distinct())
+    others = grouped.join(meets, "token").where("g IS NULL OR (minor AND g > to) OR (NOT minor AND g <> to)").select(F.col("to").alias("g"), "node", "part", F.lit(False).alias("head")).distinct()
+    heads = grouped.where("g IS NOT NULL").select("g", "node", "part", F.lit(True).alias("head")).distinct()
+    found = work.put(others.unionByName(heads))
+    work.drop(meets)
+    return found
+
+
+def followers(opened: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
+    """g, node, part, head: each list's leader, and the classes that follow it because no other leader of theirs has more collisions with them."""
+    weights = work.put(opened.where("minor").groupBy("node").agg(F.sum("n").alias("weight")))  # what most share, the middle of a group of copies has
+    leaders = opened.where("minor").join(weights, "node").groupBy("token").agg(F.max_by(F.struct("node", "part"), F.struct("weight", "node")).alias("a"))
+    leaders = work.put(leaders.select("token", F.col("a.node").alias("lead"), F.col("a.part").alias("lead_part")))
+    pairs = work.put(opened.join(leaders, "token").where("part <> lead_part").select("node", "part", "lead", "lead_part").distinct())
+    signs = classes.select("node", "sig")
+    both = pairs.join(signs.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig")), "lead").join(signs, "node")
+    hits = F.size(F.filter(F.zip_with("sig", "lead_sig", lambda x, y: x == y), lambda same: same))
+    best = work.put(both.withColumn("hits", hits).where(f"hits >= {MATCH}").groupBy("node", "part").agg(F.max_by(F.struct("lead", "lead_part"), F.struct("hits", "lead")).alias("a")))
+    followed = best.select(F.col("a.lead").alias("g"), "node", "part", F.lit(False).alias("head"))
+    heads = best.select(F.col("a.lead").alias("g"), F.col("a.lead").alias("node"), F.col("a.lead_part").alias("part"), F.lit(True).alias("head")).distinct()
+    found = work.put(followed.unionByName(heads))
+    work.drop(weights, leaders, pairs, best)
+    return found
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
+    """node, sig and items (the sorted shingle hashes as bytes) of the given nodes; only texts that the sieve lets pass are shuffled."""
+    wanted = work.put(classes.join(nodes.select("node").distinct(), "node").select("node", "doc_id", "text_key", "sig"))
+    rows = work.put(sieve(F.struct("doc_id", "text_key"), wanted))
+    texts = sifted(_texts(docs), F.struct("doc_id", "text_key"), rows, "passed").where("passed").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.asarray(batch.column(n).flatten()).reshape(-1, COORDINATES) for n in ("sig_a", "sig_b"))
-            keep = pa.array((x == y).sum(axis=1) >= MATCH)
-            return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            items = [s.tobytes() for s in shingle_sets(strings(batch.column("text")).to_pylist())]
+            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sig"), pa.array(items, pa.large_binary()).cast(pa.binary())], names=["node", "sig", "items"])
 
         return step
 
-    return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b"), make, "a long, b long")
-
-
-def _confirm_stars(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; texts meet in groups of one a and a bounded part of its b."""
-    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_GROUP).alias("groups")))
-    heads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("a").alias("doc_id"))
-    members = pairs.join(sizes, "a").select("a", spread(F.col("b"), F.col("groups")).alias("part"), F.col("b").alias("doc_id"))
-    wanted = cut(heads.unionByName(members))
-    met = wanted.join(_texts(docs).dropna(subset=["doc_id"]), "doc_id").withColumn("head", F.col("doc_id") == F.col("a"))
-    dealt = met.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"), "doc_id")
+    found = work.put(map_arrow(texts.join(wanted, ["doc_id", "text_key"]).select("node", "sig", "text"), make, "node long, sig array<int>, items binary"))
+    work.drop(wanted, rows)
+    return found
+
+
+class Group:
+    """Heads and others of one group: finds the links that join components."""
+
+    def __init__(self) -> None:
+        self.signs = np.zeros((16, COORDINATES), np.int32)
+        self.sets: list[np.ndarray] = []
+        self.parts: list[int] = []
+        self.root: dict[int, int] = {}
+
+    def find(self, part: int) -> int:
+        root = self.root
+        while (up := root.setdefault(part, part)) != part:
+            root[part] = part = root[up]
+        return part
+
+    def meet(self, part: int, sign: np.ndarray, items: np.ndarray, head: bool) -> None:
+        n = len(self.sets)
+        hits = (self.signs[:n] == sign).sum(axis=1)
+        near = np.flatnonzero(hits >= MATCH)
+        for k in near[np.argsort(-hits[near], kind="stable")].tolist():
+            a, b = self.find(part), self.find(self.parts[k])
+            if a != b and similar(self.sets[k], items):
+                self.root[max(a, b)] = min(a, b)
+        if head:
+            if n == len(self.signs):
+                self.signs = np.concatenate([self.signs, np.zeros_like(self.signs)])
+            self.signs[n] = sign
+            self.sets.append(items)
+            self.parts.append(part)
+
+    def links(self) -> list[tuple[int, int]]:
+        return [(top, p) for p in list(self.root) if (top := self.find(p)) != p]
+
+
+def confirmed(members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """a, b: links between parts.  members: g, node, part, head."""
+    sizes = work.put(members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("k")))
+    placed = members.join(sizes, "g")
+    dealt = placed.where("NOT head").select("g", spread(F.col("node"), F.col("k")).alias("sub"), "node", "part", "head")
+    dealt = dealt.unionByName(placed.where("head").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("sub"), "node", "part", "head"))
+    met = work.put(dealt).join(sets, "node").repartition("g", "sub").sortWithinPartitions("g", "sub", F.desc("head"), "node")
 
     def run(batches):
         drop_encoders()
-        key, heads = None, []
-        for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "head", "doc_id"))))
-            out: list[tuple[int, int]] = []
-            for (a, part, is_head, node), items in zip(rows, shingle_sets(strings(batch.column("text")).to_pylist())):
-                if key != (a, part):
-                    key, heads = (a, part), []
-                if is_head:
-                    heads.append(items)
-                elif any(similar(head, items) for head in heads):
-                    out.append((a, node))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def link_block(nodes: list[int], parts: list[int], sides: list[int], texts: list[str]) -> list[tuple[int, int]]:
-    """Links of similar texts that join different parts; at most one fewer than there are texts.
-
-    Only pairs of an even side with an odd one, or any pair if there is one side, are looked at."""
-    sets = list(shingle_sets(texts))
-    signs = np.array([signature(s) for s in sets])
-    root = list(range(len(nodes)))
-    first: dict[int, int] = {}
-    for k, part in enumerate(parts):
-        root[k] = first.setdefault(part, k)
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    pairs = []
-    side = np.array(sides)
-    whole = len(set(sides)) == 1
-    for k in range(len(nodes)):
-        hits = (signs[k + 1 :] == signs[k]).sum(axis=1)
-        for j in np.flatnonzero((hits >= MATCH) & (whole | (side[k + 1 :] != side[k]))).tolist():
-            if parts[k] != parts[k + 1 + j]:
-                pairs.append((-int(hits[j]), k, k + 1 + j))
-    out = []
-    for _, i, j in sorted(pairs):
-        if find(i) != find(j) and similar(sets[i], sets[j]):
-            root[find(i)] = find(j)
-            out.append((nodes[i], nodes[j]))
-    return out
-
-
-def _block_links(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between different components in lists.  rest: token, node, part.
-
-    Large components of a list fill blocks of their own, small ones share blocks; two
-    blocks of one component are never compared."""
-    sizes = cut(rest.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")))
-    small = cut(sizes.where(f"n < {BLOCK}").groupBy("token").agg(F.ceil(F.sum("n") / BLOCK).alias("shared")))
-    placed = rest.join(sizes, ["token", "part"]).join(small, "token", "left").select(
-        "token", "node", "part",
-        F.when(F.col("n") >= BLOCK, F.col("part")).otherwise(-1).alias("own"),
-        F.when(F.col("n") >= BLOCK, spread(F.col("node"), F.ceil(F.col("n") / BLOCK))).otherwise(spread(F.col("part"), F.col("shared"))).alias("block"),
-    )
-    placed = cut(placed)
-    blocks = cut(placed.select("token", "own", "block").distinct())
-    left, right = (blocks.select("token", F.struct("own", "block").alias(n)) for n in ("x", "y"))
-    meets = left.join(right, "token").where("x <= y AND (x.own <> y.own OR x.own = -1)").withColumn("meet", F.xxhash64("token", "x", "y"))
-    meets = cut(meets)
-    keyed = [placed.join(meets.select("token", F.col(f"{n}.own").alias("own"), F.col(f"{n}.block").alias("block"), "meet"), ["token", "own", "block"]).select("meet", "node", "part", F.lit(s).alias("side")) for s, n in enumerate(("x", "y"))]
-    rows = cut(keyed[0].unionByName(keyed[1]).groupBy("meet", "node").agg(F.min("part").alias("part"), F.min("side").alias("side")))
-    met = rows.join(_texts(docs).dropna(subset=["doc_id"]), rows.node == F.col("doc_id")).dropDuplicates(["meet", "node"])
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        drop_encoders()
-        found = link_block(group["node"].to_pylist(), group["part"].to_pylist(), group["side"].to_pylist(), strings(group["text"]).to_pylist())
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        key, group = None, Group()
 
-    return met.select("meet", "node", "part", "side", "text").groupBy("meet").applyInArrow(run, "a long, b long")
+        def flush():
+            if found := group.links():
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            signs = np.asarray(batch.column("sig").flatten()).reshape(-1, COORDINATES)
+            for k, (g, sub, part, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "sub", "part", "head")))):
+                if key != (g, sub):
+                    yield from flush()
+                    key, group = (g, sub), Group()
+                group.meet(part, signs[k], np.frombuffer(batch.column("items")[k].as_buffer(), _U), head)
+        yield from flush()
+
+    links = work.put(met.mapInArrow(run, "a long, b long"))
+    work.drop(sizes)
+    return links
+
+
+def _relabelled(postings: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
+    """Postings with each part replaced by its component's."""
+    stars = star_forest(links, work)
+    renamed = work.put(postings.join(stars.withColumnRenamed("node", "part"), "part", "left").select("token", "node", F.coalesce("component", "part").alias("part")))
+    work.drop(postings)
+    return renamed
+
+
+def class_links(docs: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
+    """a, b: links that span the components of classes (node, doc_id, text_key, n_shingles, sig)."""
+    postings = prefix_postings(classes, work).withColumn("part", F.col("node"))
+    opened = open_lists(postings, work)
+    sets = full_sets(docs, classes, opened, work)
+    links, before = None, None
+    while True:
+        long = opened.where(f"minors > {HEADS}")
+        pressing = long.where("minor").count()
+        if not pressing or (before is not None and 2 * pressing > before):
+            break
+        # Comparing whole groups of a long list costs its length for each group: leaders go first while they halve the task.
+        led = confirmed(followers(long, classes, work), sets, work)
+        links = led if links is None else work.put(links.unionByName(led))
+        opened = open_lists(_relabelled(opened.select("token", "node", "part"), led, work), work)
+        before = pressing
+    last = confirmed(group_members(minor_groups(opened, classes, work), work), sets, work)
+    return last if links is None else links.unionByName(last)
+
+
+def verdicts(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, text_key, n_shingles and head of every row of docs: the least (doc_id, text_key) of its component; null where nothing links."""
+    base = work.put(describe(docs))
+    some = base.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    least = some.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = work.put(least.select(F.monotonically_increasing_id().alias("node"), "digest", "head.doc_id", "head.text_key", "n_shingles", "sig"))
+    stars = star_forest(class_links(docs, classes, work), work)
+    named = work.put(classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), F.struct("doc_id", "text_key").alias("head")))
+    heads = work.put(named.groupBy("component").agg(F.min("head").alias("head")))
+    placed = work.put(named.select("digest", "component").join(heads, "component").select("digest", "head"))
+    return base.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(placed, "digest", "left").select("doc_id", "text_key", "n_shingles", "head")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
-    base = cut(describe(docs))
-    classes = cut(base.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")))
-    members = base.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    reps = cut(members.join(classes, (members.doc_id == classes.node) & (members.digest == classes.digest)).select("node", "sig").dropDuplicates(["node", "sig"]))
-    postings = cut(prefix_postings(reps))
-
-    leaders = cut(postings.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token", "a"))
-    stars = postings.join(leaders, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = cut(_confirm_stars(cut(_collisions(stars, reps)), docs))
-    parts = cut(components(links))
-
-    named = postings.join(parts, "node", "left").select("token", "node", F.coalesce("component", "node").alias("part"))
-    named = cut(named)
-    open_lists = cut(named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token"))
-    rest = cut(named.join(open_lists, "token"))
-    if rest.isEmpty():
-        final = parts
-    else:
-        more = cut(_block_links(rest, docs))
-        final = parts if more.isEmpty() else cut(components(links.unionByName(more)))
-    placed = classes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    placed = cut(placed)
-    joined = base.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with Workspace(docs.sparkSession, "near_duplicates") as work:
+        rows = verdicts(docs, work).withColumn("component_id", F.coalesce("head.doc_id", "doc_id"))
+        return cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's least, all columns as they were; rows without doc_id stay."""
-    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(cut(dropped), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """One row of docs for each component, all columns as they were: that of the least doc_id (of several, the least text
+    hash; of equal rows, any).  Rows without doc_id or words stay.
+
+    Texts that may belong to a row that goes are shuffled; the others stay where they are read."""
+    with Workspace(docs.sparkSession, "distinct_documents") as work:
+        rows = verdicts(docs, work).where("head IS NOT NULL")
+        known = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.bool_or((F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.text_key") != F.col("text_key"))).alias("goes"))
+        marked = cut(known.where("goes OR n > 1").select("doc_id", "text_key", "goes"))
+        bits = cut(sieve(F.struct("doc_id", "text_key"), marked))
+    names = docs.columns
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    whole = sifted(whole, F.struct("doc_id", "text_key"), bits, "passed")
+    met = whole.where("passed").select("doc_id", "text_key", "row").join(marked, ["doc_id", "text_key"], "left")
+    once = met.where("NOT goes").groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+    return whole.where("NOT passed").select("row.*").union(met.where("goes IS NULL").select("row.*")).union(once.select("row.*"))
 
 
 def op4_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 import pytest
 
@@ -56,17 +57,19 @@ def corpus(seed=1, n=150):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_components_against_brute_force(docs, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    rows = corpus(block)
+@pytest.mark.parametrize("small", [False, True])
+def test_components_against_brute_force(docs, monkeypatch, small):
+    if small:  # many groups of many tasks, behind rounds of leaders
+        for name, value in (("HEADS", 3), ("MEMBERS", 5)):
+            monkeypatch.setattr(minhash, name, value)
+    rows = corpus(8 if small else 2048)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows)).collect()}
     assert got == brute(list(enumerate(rows)))
 
 
 def test_leaders_that_hide_links(docs, monkeypatch):
     """A chain in which each text is like its neighbours only: links between non-leaders count."""
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "HEADS", 2)
     words = [f"w{i}" for i in range(400)]
     rows = [" ".join(words[k * 6 : k * 6 + 80]) for k in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows)).collect()}
@@ -85,6 +88,47 @@ def test_edges(edges, nothing):
     assert kept.columns == edges.columns and 6 not in {r.doc_id for r in kept.collect()}
 
 
+def test_rows_that_repeat_a_doc_id(docs):
+    """A row is its text's: another text under a known doc_id is a document of its own; of equal rows one stays."""
+    t, u = (" ".join(f"{c}{k}" for k in range(40)) for c in "tu")
+    rows = docs([(3, t, "a", "s"), (5, t, "b", "s"), (5, u, "c", "s"), (7, u, "d", "s"), (7, u, "d", "s"), (8, None, "e", "s"), (8, None, "e", "s"), (9, u + " more", "f", "s"), (9, u + " end", "g", "s")])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 5, False), (8, 8, True), (8, 8, True), (9, 5, False), (9, 5, False)]
+    assert sorted((r.doc_id, r.lang) for r in minhash.distinct_documents(rows).collect()) == [(3, "a"), (5, "c"), (8, "e"), (8, "e")]
+    twice = docs([(1, t, "a", "s"), (1, t, "a", "s"), (1, t + " more", "b", "s"), (2, u, "c", "s")])
+    assert sorted(r.doc_id for r in minhash.distinct_documents(twice).collect()) == [1, 2]
+
+
+def test_names_used_inside(spark):
+    names = "row passed sieve_row sieve_bits text_key head goes n digest node dropped_id component".split()
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = spark.createDataFrame([(i, t if i < 5 else f"other {i}", *range(len(names))) for i in range(8)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(r.doc_id for r in minhash.distinct_documents(rows).collect()) == [0, 5, 6, 7]
+    assert minhash.near_duplicates(rows).count() == 8
+
+
+def test_a_text_moves_seldom(docs, monkeypatch):
+    """600 near copies share hundreds of lists; a text meets its groups once, not once a list."""
+    rnd = random.Random(4)
+    base = [rnd.choice(string.ascii_lowercase) + str(k) for k in range(150)]
+    texts = []
+    for _ in range(600):
+        copy = base[:]
+        for k in rnd.sample(range(150), rnd.randrange(1, 6)):
+            copy[k] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    met = []
+    whole = minhash.confirmed
+
+    def counted(members, sets, work):
+        met.append(members.count())
+        return whole(members, sets, work)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(texts)).collect()}
+    assert got == brute(list(enumerate(texts))) and sum(met) <= 2 * 600
+
+
 def test_hashes_do_not_depend_on_cuts(monkeypatch):
     text = " ".join(f"wörd{i}" for i in range(3000)).encode() + b" " + b"z" * 5000 + b" end"
     whole = W.hash_words(text)[0]
