@@ -6,12 +6,12 @@
    has are dropped; a class with fewer than ``MATCH`` shared ones can't have
    ``MATCH`` collisions with any other.  Of the rest, only a prefix in order of rising
    frequency is posted: two classes with MATCH collisions meet in the prefixes.
-3. A list is open while its classes are of different components.  For lists with more minor classes (see 4) than
-   a group holds rounds of leaders go first, as long as each halves what is open: one class of each list leads, every other
+3. A list is open while its classes are of different components.  For lists with more than ``LONG`` minor
+   classes (see 4) rounds of leaders go first, as long as each halves what is open: one class of each list leads, every other
    follows the leader it has most collisions with, and pairs similar on full sets are joined.
 4. What stays open is compared for good.  All classes of a list but those of its largest component
-   are its minor ones.  Minor classes of the same longest list form groups of bounded size; a group is
-   compared with all classes that share a list with it, once, however many lists they share.
+   are its minor ones.  Minor classes that share a long list, their home, form groups of bounded size; a group is
+   compared with all classes that share a list with its home, once, however many lists they share.
    Comparing is: collisions of signatures, pairs below MATCH dropped, the rest confirmed on full sets
    unless joined already; a group reports only links that join components.
    No list is capped, and no list's pairs are written out.
@@ -44,6 +44,7 @@ SHINGLE = 5
 COORDINATES = 48
 MATCH = 21
 SIMILAR = 75  # per cent
+LONG = 2048  # minor classes of a list from which on leaders go first
 HEADS = 256  # minor classes of a group, about
 HEAD_ITEMS = 1 << 21  # and their shingles, about
 MEMBERS = 2048  # others that a task compares with them, about
@@ -130,10 +131,11 @@ def open_lists(postings: DataFrame, work: Workspace) -> DataFrame:
     return found
 
 
-def minor_groups(opened: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
-    """opened with g, the group of a class that is minor in any list (else null).
+def minor_homes(opened: DataFrame, classes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """opened with home, bucket and k of a class that is minor in any list (else null): the group that it is a head of,
+    and the buckets of its home.
 
-    A class's home is its longest list; then the home that most others of its lists have, so that few groups share a list."""
+    A class's home is its longest list; then the home that most others of its lists have, so that few homes share a list."""
     minors = opened.where("minor").select("token", "node", "n")
     first = work.put(minors.groupBy("node").agg(F.max(F.struct("n", "token")).getField("token").alias("home")))
     held = work.put(first.groupBy("home").agg(F.count(F.lit(1)).alias("held")))
@@ -141,45 +143,46 @@ def minor_groups(opened: DataFrame, classes: DataFrame, work: Workspace) -> Data
     homes = minors.join(usual, "token").groupBy("node").agg(F.max("usual").getField("home").alias("home"))
     homes = work.put(homes.join(classes.select("node", "n_shingles"), "node"))
     sizes = work.put(homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / HEADS), F.ceil(F.sum("n_shingles") / HEAD_ITEMS)).alias("k")))
-    heads = homes.join(sizes, "home").select("node", F.xxhash64("home", spread(F.col("node"), F.col("k"))).alias("g"))
+    heads = homes.join(sizes, "home").select("node", "home", spread(F.col("node"), F.col("k")).alias("bucket"), "k")
     grouped = work.put(opened.join(heads, "node", "left"))
-    work.drop(first, held, usual, homes, sizes)
-    return grouped
+    work.drop(first, held, usual, homes)
+    return grouped, sizes
 
 
-def group_members(grouped: DataFrame, work: Workspace) -> DataFrame:
-    """g, node, part, head: the classes of each group, and all others that it must be compared with.
+def group_members(grouped: DataFrame, sizes: DataFrame, work: Workspace) -> DataFrame:
+    """home, node, part, head, bucket: the heads of each group (home, bucket); with bucket null, classes that all
+    groups of the home must be compared with.
 
-    Two minor classes of a list in different groups meet in one of these only."""
-    meets = work.put(grouped.where("minor").select("token", F.col("g").alias("to")).distinct())
-    others = grouped.join(meets, "token").where("g IS NULL OR (minor AND g > to) OR (NOT minor AND g <> to)").select(F.col("to").alias("g"), "node", "part", F.lit(False).alias("head")).distinct()
-    heads = grouped.where("g IS NOT NULL").select("g", "node", "part", F.lit(True).alias("head")).distinct()
-    found = work.put(others.unionByName(heads))
+    Two minor classes of a list with different homes meet at one of these only."""
+    meets = work.put(grouped.where("minor").select("token", F.col("home").alias("at")).distinct())
+    others = grouped.join(meets, "token").where("home IS NULL OR (minor AND home > at) OR (NOT minor AND home <> at)").select(F.col("at").alias("home"), "node", "part", F.lit(None).cast("long").alias("bucket")).distinct()
+    heads = grouped.where("home IS NOT NULL").select("home", "node", "part", "bucket").distinct()
+    found = work.put(others.unionByName(heads).join(sizes, "home"))
     work.drop(meets)
     return found
 
 
 def followers(opened: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
-    """g, node, part, head: each list's leader, and the classes that follow it because no other leader of theirs has more collisions with them."""
-    weights = work.put(opened.where("minor").groupBy("node").agg(F.sum("n").alias("weight")))  # what most share, the middle of a group of copies has
+    """home, node, part, bucket, k: each list's leader (a head), and the classes that follow it because no other leader of theirs has more collisions with them."""
+    weights = opened.where("minor").groupBy("node").agg(F.sum("n").alias("weight"))  # what most share, the middle of a group of copies has
     leaders = opened.where("minor").join(weights, "node").groupBy("token").agg(F.max_by(F.struct("node", "part"), F.struct("weight", "node")).alias("a"))
     leaders = work.put(leaders.select("token", F.col("a.node").alias("lead"), F.col("a.part").alias("lead_part")))
-    pairs = work.put(opened.join(leaders, "token").where("part <> lead_part").select("node", "part", "lead", "lead_part").distinct())
+    pairs = opened.join(leaders, "token").where("part <> lead_part").select("node", "part", "lead", "lead_part").distinct()
     signs = classes.select("node", "sig")
     both = pairs.join(signs.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig")), "lead").join(signs, "node")
     hits = F.size(F.filter(F.zip_with("sig", "lead_sig", lambda x, y: x == y), lambda same: same))
     best = work.put(both.withColumn("hits", hits).where(f"hits >= {MATCH}").groupBy("node", "part").agg(F.max_by(F.struct("lead", "lead_part"), F.struct("hits", "lead")).alias("a")))
-    followed = best.select(F.col("a.lead").alias("g"), "node", "part", F.lit(False).alias("head"))
-    heads = best.select(F.col("a.lead").alias("g"), F.col("a.lead").alias("node"), F.col("a.lead_part").alias("part"), F.lit(True).alias("head")).distinct()
+    followed = best.select(F.col("a.lead").alias("home"), "node", "part", F.lit(None).cast("long").alias("bucket"), F.lit(1).cast("long").alias("k"))
+    heads = best.select(F.col("a.lead").alias("home"), F.col("a.lead").alias("node"), F.col("a.lead_part").alias("part"), F.lit(0).cast("long").alias("bucket"), F.lit(1).cast("long").alias("k")).distinct()
     found = work.put(followed.unionByName(heads))
-    work.drop(weights, leaders, pairs, best)
+    work.drop(leaders, best)
     return found
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
     """node, sig and items (the sorted shingle hashes as bytes) of the given nodes; only texts that the sieve lets pass are shuffled."""
     wanted = work.put(classes.join(nodes.select("node").distinct(), "node").select("node", "doc_id", "text_key", "sig"))
-    rows = work.put(sieve(F.struct("doc_id", "text_key"), wanted))
+    rows = sieve(F.struct("doc_id", "text_key"), wanted)
     texts = sifted(_texts(docs), F.struct("doc_id", "text_key"), rows, "passed").where("passed").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
 
     def make():
@@ -190,7 +193,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, work: Works
         return step
 
     found = work.put(map_arrow(texts.join(wanted, ["doc_id", "text_key"]).select("node", "sig", "text"), make, "node long, sig array<int>, items binary"))
-    work.drop(wanted, rows)
+    work.drop(wanted)
     return found
 
 
@@ -229,12 +232,17 @@ class Group:
 
 
 def confirmed(members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
-    """a, b: links between parts.  members: g, node, part, head."""
-    sizes = work.put(members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("k")))
-    placed = members.join(sizes, "g")
-    dealt = placed.where("NOT head").select("g", spread(F.col("node"), F.col("k")).alias("sub"), "node", "part", "head")
-    dealt = dealt.unionByName(placed.where("head").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("sub"), "node", "part", "head"))
-    met = work.put(dealt).join(sets, "node").repartition("g", "sub").sortWithinPartitions("g", "sub", F.desc("head"), "node")
+    """a, b: links between parts.  members: home, node, part, bucket, k.
+
+    A task has the heads of a group and a bounded share of what they are compared with; heads of later buckets are among that."""
+    sizes = work.put(members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("subs")))
+    placed = members.join(sizes, "home")
+    zero = F.lit(0).cast("long")
+    before = F.when(F.coalesce("bucket", "k") > 0, F.sequence(zero, F.coalesce("bucket", "k") - 1)).otherwise(F.array().cast("array<bigint>"))
+    met = placed.select("home", F.explode(before).alias("to"), spread(F.col("node"), F.col("subs")).alias("sub"), "node", "part", F.lit(False).alias("head"))
+    heads = placed.where("bucket IS NOT NULL").select("home", F.col("bucket").alias("to"), F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub"), "node", "part", F.lit(True).alias("head"))
+    dealt = met.unionByName(heads).select(F.xxhash64("home", "to", "sub").alias("g"), "node", "part", "head")
+    met = dealt.join(sets, "node").repartition("g").sortWithinPartitions("g", F.desc("head"), "node")
 
     def run(batches):
         drop_encoders()
@@ -246,10 +254,10 @@ def confirmed(members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame
 
         for batch in batches:
             signs = np.asarray(batch.column("sig").flatten()).reshape(-1, COORDINATES)
-            for k, (g, sub, part, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "sub", "part", "head")))):
-                if key != (g, sub):
+            for k, (g, part, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "part", "head")))):
+                if key != g:
                     yield from flush()
-                    key, group = (g, sub), Group()
+                    key, group = g, Group()
                 group.meet(part, signs[k], np.frombuffer(batch.column("items")[k].as_buffer(), _U), head)
         yield from flush()
 
@@ -258,14 +266,6 @@ def confirmed(members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame
     return links
 
 
-def _relabelled(postings: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
-    """Postings with each part replaced by its component's."""
-    stars = star_forest(links, work)
-    renamed = work.put(postings.join(stars.withColumnRenamed("node", "part"), "part", "left").select("token", "node", F.coalesce("component", "part").alias("part")))
-    work.drop(postings)
-    return renamed
-
-
 def class_links(docs: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
     """a, b: links that span the components of classes (node, doc_id, text_key, n_shingles, sig)."""
     postings = prefix_postings(classes, work).withColumn("part", F.col("node"))
@@ -273,16 +273,17 @@ def class_links(docs: DataFrame, classes: DataFrame, work: Workspace) -> DataFra
     sets = full_sets(docs, classes, opened, work)
     links, before = None, None
     while True:
-        long = opened.where(f"minors > {HEADS}")
+        long = opened.where(f"minors > {LONG}")
         pressing = long.where("minor").count()
         if not pressing or (before is not None and 2 * pressing > before):
             break
-        # Comparing whole groups of a long list costs its length for each group: leaders go first while they halve the task.
+        # A long list costs its length for each group of its minor classes: leaders go first while they halve these.
         led = confirmed(followers(long, classes, work), sets, work)
         links = led if links is None else work.put(links.unionByName(led))
-        opened = open_lists(_relabelled(opened.select("token", "node", "part"), led, work), work)
+        renamed = star_forest(led, work).withColumnRenamed("node", "part")
+        opened = open_lists(opened.select("token", "node", "part").join(renamed, "part", "left").select("token", "node", F.coalesce("component", "part").alias("part")), work)
         before = pressing
-    last = confirmed(group_members(minor_groups(opened, classes, work), work), sets, work)
+    last = confirmed(group_members(*minor_homes(opened, classes, work), work), sets, work)
     return last if links is None else links.unionByName(last)
 
 
@@ -293,9 +294,9 @@ def verdicts(docs: DataFrame, work: Workspace) -> DataFrame:
     least = some.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = work.put(least.select(F.monotonically_increasing_id().alias("node"), "digest", "head.doc_id", "head.text_key", "n_shingles", "sig"))
     stars = star_forest(class_links(docs, classes, work), work)
-    named = work.put(classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), F.struct("doc_id", "text_key").alias("head")))
+    named = classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), F.struct("doc_id", "text_key").alias("head"))
     heads = work.put(named.groupBy("component").agg(F.min("head").alias("head")))
-    placed = work.put(named.select("digest", "component").join(heads, "component").select("digest", "head"))
+    placed = named.select("digest", "component").join(heads, "component").select("digest", "head")
     return base.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(placed, "digest", "left").select("doc_id", "text_key", "n_shingles", "head")
 
 
