@@ -8,7 +8,8 @@
    far as the limit allows.  Each step of the search is an aggregate over sources, which are never collected.
 3. A source's quota is its weight times the budget.  Its documents lie in hashed blocks; an epoch goes
    through the blocks in an order of its own.  Whole epochs repeat every document, the last takes blocks in
-   order while they fit and documents of the next block while they fit, never over the quota.
+   order while they fit and, of the next block, documents in order while they fit, leaving out those longer than all
+   that is left; never over the quota.  A quota within a thousandth of whole epochs is rounded up to them.
 
 Cases: null or empty text has no tokens and rides along with its block; null source is a source;
 null doc_id passes through; rows that repeat a doc_id are documents of their own; sources without tokens
@@ -108,7 +109,8 @@ def temperature_mix(docs: DataFrame, *, target_entropy: float | None = None, spr
     size = max(least_block, -(-total // most_blocks))
     quota = F.floor(F.round(raised / F.lit(whole) * F.lit(float(budget)), 3)).cast("long")
     plan = sources.select("key", "held", quota.alias("quota"), F.ceil(F.col("held") / size).cast("long").alias("blocks"))
-    plan = cut(plan.withColumns({"full": F.expr("quota div held"), "rest": F.expr("quota % held")}))
+    nearly = F.expr("1000 * (held - quota % held) <= held")
+    plan = cut(plan.withColumns({"full": F.expr("quota div held") + nearly.cast("long"), "rest": F.when(nearly, 0).otherwise(F.expr("quota % held"))}))
     # A source may hold most rows: its plan is dealt to every salt, so that its rows spread over tasks.
     dealt = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     placed = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS))).join(dealt, ["key", "salt"]).drop("salt").withColumn("block", _mixed(F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % F.col("blocks"))
@@ -120,21 +122,22 @@ def temperature_mix(docs: DataFrame, *, target_entropy: float | None = None, spr
     ranked = cut(ranked.select("key", "block", "epoch", "block_rank", left.alias("left"), (left >= F.col("held")).alias("fits")).where("left > 0"))
     read = placed.select("doc_id", "source", "tokens", "key", "block").join(ranked, ["key", "block"])
     inside = Window.partitionBy("key", "block", "epoch").orderBy(_mixed(F.lit("doc"), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    partly = read.where("NOT fits").withColumn("upto", F.sum("tokens").over(inside)).where("upto <= left").drop("upto")
+    partly = read.where("NOT fits AND tokens <= left").withColumn("upto", F.sum("tokens").over(inside)).where("upto <= left").drop("upto")
     names = ["doc_id", "source", "tokens", F.col("epoch").cast("int").alias("epoch"), "block", F.col("block_rank").cast("int").alias("block_rank")]
     return read.where("fits").select(*names).union(partly.select(*names))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in as many copies as the mix reads them.
+    """The rows of docs in as many copies as the mix reads them, all columns as they were.
 
     Rows that share a doc_id share the count of its reads, rounded up for each."""
     reads = temperature_mix(docs, **options)
-    copies = cut(reads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("reads")))
-    held = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    copies = cut(copies.join(held, copies.doc_id.eqNullSafe(held.doc_id)).select(copies.doc_id.alias("mixed_id"), F.ceil(F.col("reads") / F.col("rows")).cast("int").alias("copies")))
-    names = docs.columns
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*names)
+    held = reads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("reads")).select("doc_id", "reads", F.lit(0).cast("long").alias("rows"))
+    had = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("rows")).select("doc_id", F.lit(0).cast("long").alias("reads"), "rows")
+    copies = held.union(had).groupBy("doc_id").agg(F.ceil(F.sum("reads") / F.sum("rows")).cast("int").alias("copies"))
+    copies = cut(copies.where("copies > 0").withColumnRenamed("doc_id", "id"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return whole.join(copies, F.col("own_id").eqNullSafe(F.col("id"))).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +165,8 @@ b AS (
 ),
 w AS (SELECT key, held, pow(held / total, a) AS raised, total FROM s, t, a),
 q AS (SELECT key, held, floor(round(raised / (SELECT sum(raised) FROM w) * total, 3))::BIGINT AS quota, ceil(held / greatest(16384, ceil(total / 65536)))::BIGINT AS blocks FROM w),
-c AS (SELECT d.*, quota // q.held AS whole_passes, quota % q.held AS rest, {_H.format("'block|' || d.doc_id")} % blocks AS block FROM d JOIN q USING (key)),
+n AS (SELECT *, 1000 * (held - quota % held) <= held AS nearly FROM q),
+c AS (SELECT d.*, quota // q.held + nearly::BIGINT AS whole_passes, CASE WHEN nearly THEN 0 ELSE quota % q.held END AS rest, {_H.format("'block|' || d.doc_id")} % blocks AS block FROM d JOIN n q USING (key)),
 k AS (SELECT key, block, whole_passes, rest, sum(tokens)::BIGINT AS held FROM c GROUP BY ALL),
 e AS (SELECT *, unnest(range(0, whole_passes + 1)) AS epoch FROM k),
 r AS (
@@ -172,7 +176,7 @@ r AS (
 z AS (
   SELECT c.doc_id, c.source, c.tokens, u.epoch, u.block, u.block_rank, u.held, u.room,
     sum(c.tokens) OVER (PARTITION BY c.key, u.block, u.epoch ORDER BY {_H.format("'doc|' || u.epoch || '|' || c.doc_id")}, c.doc_id ROWS UNBOUNDED PRECEDING) AS upto
-  FROM c JOIN u ON c.key = u.key AND c.block = u.block WHERE room > 0
+  FROM c JOIN u ON c.key = u.key AND c.block = u.block WHERE room > 0 AND (room >= held OR c.tokens <= room)
 )
 SELECT doc_id, source, tokens, epoch::INTEGER AS epoch, block, block_rank::INTEGER AS block_rank FROM z WHERE room >= held OR upto <= room
 """

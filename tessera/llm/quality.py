@@ -12,12 +12,14 @@ passes through; repeated rows are judged alike; further columns stay out of the
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, strings
+from tessera.llm.common import cut, map_arrow, strings
 from tessera.llm.words import SPACE, _U, groups, hash_words, mix, window_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim", "n_upper", "n_letters")
@@ -108,8 +110,13 @@ def ledger(docs: DataFrame) -> DataFrame:
         return step
 
     measured = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", rule_bits())
+
+
+def rule_bits(measures: str = "") -> Column:
+    """The failure bits from measurements, which are columns or (``measures``) fields of a struct."""
+    values = [(k, re.sub("|".join(rf"\b{m}\b" for m in MEASURES), lambda m: f"{measures}.{m[0]}" if measures else m[0], rule)) for k, (_, rule) in enumerate(RULES)]
+    return sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in values), F.lit(0).cast("long"))
 
 
 def failed(policy_mask: int) -> Column:
@@ -146,13 +153,18 @@ def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(MEASURES))], names=list(MEASURES))
 
     measured = F.arrow_udf(run, "struct<" + ",".join(f"{m}: bigint" for m in MEASURES) + ">")(F.col("text").cast("string"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), measured.alias("m")).select("row", "m.*")
-    chosen = [rule for name, rule in RULES if (BASE | POLICIES[version]) & BIT[name]]
-    return rows.where(" AND ".join(f"NOT ({rule})" for rule in chosen)).select("row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), measured.alias("m")).select("row", rule_bits("m").alias("fail_bits"))
+    return rows.where(~failed(BASE | POLICIES[version])).select("row.*")
 
 
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The ledger is stored once; the policy reads it."""
+    return apply_policy(cut(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy rejects, and would keep without each of its rules, from the stored bits of all documents."""
+    return ablations(cut(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
 _BITS_SQL = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(RULES))
@@ -174,5 +186,12 @@ WITH d AS (
     len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters
   FROM d JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), b AS (SELECT *, ({_BITS_SQL})::BIGINT AS fail_bits FROM m)
-SELECT *, (fail_bits & {BASE}) <> 0 AS base_failed, (fail_bits & {POLICIES[CURRENT] | BASE}) = 0 AS kept, '{CURRENT}' AS policy FROM b
+"""
+ABLATIONS_ORACLE = ORACLE + "".join(
+    f"{'UNION ALL ' if k else ''}SELECT '{v}' AS policy, '{name}' AS rule, count(*) FILTER (fail_bits & {m} <> 0) AS rejected, "
+    f"count(*) FILTER (fail_bits & {m} = {BIT[name]}) AS kept_without, (coalesce(sum(n_words) FILTER (fail_bits & {m} = {BIT[name]}), 0))::BIGINT AS words_without, "
+    f"coalesce(bit_or(CASE WHEN fail_bits & {BIT[name]} <> 0 THEN fail_bits ELSE 0 END), 0) AS fails_with FROM b\n"
+    for k, (v, m, name) in enumerate((v, m, name) for v, m in POLICIES.items() for name, _ in RULES if m & BIT[name])
+)
+ORACLE += rf"""SELECT *, (fail_bits & {BASE}) <> 0 AS base_failed, (fail_bits & {POLICIES[CURRENT] | BASE}) = 0 AS kept, '{CURRENT}' AS policy FROM b
 """

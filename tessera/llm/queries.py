@@ -25,9 +25,11 @@ QUERIES = {
     "op8_ftrl_language": op8_ftrl_language,
     "op9_ordinal_toxicity": op9_ordinal_toxicity,
     "op10_best_fit": op10_best_fit,
+    "rule_ablations": quality.rule_ablations,
 }
 ORACLES: dict[str, str] = {
     "op1_rule_ledger": quality.ORACLE,
+    "rule_ablations": quality.ABLATIONS_ORACLE,
     "op3_temperature_mix": mixing.ORACLE,
     "op4_coordinate_join": minhash.ORACLE,
     "op7_spherical_cells": embedding_dedup.ORACLE,

@@ -7,6 +7,9 @@ sum of log10 guesses over its segmentations into dictionary words (by rank, see
 repeats, keyboard walks and brute-force spans, plus the orderings of the segments.  A value at or over
 ``least_log10`` is a span of kind guess: such strings aren't placeholders or plain words.
 
+Behind a bare blank or ``is``, which prose has too, only a value with a digit, or with a sign inside it, is judged: words
+there are prose in any language.
+
 A value ends before its closing quote, or, without one, before the first blank, quote, angle
 bracket, comma or semicolon; behind auth and authorization the word after the scheme is judged too.  A keyword that
 another keyword's value begins with is a context of its own.
@@ -40,7 +43,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # A keyword and its separator.
-CONTEXT = re.compile(r"(?<![A-Za-z0-9])(pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|auth|authorization|bearer|credentials?|private[_-]?key)[\"']?(?:\x20*(?:=>|[:=])\x20*|\x20is\x20|\x20)", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"(?<![A-Za-z0-9])(pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|auth|authorization|bearer|credentials?|private[_-]?key)[\"']?(?P<mark>\x20*(?:=>|[:=])\x20*|\x20is\x20|\x20)", re.IGNORECASE | re.ASCII)
+# What a value behind a bare blank has and a word of prose has not: a digit, or a sign other than the joints of words before its last letter.
+UNLIKE_PROSE = re.compile(r"[(\[]*+[^\W\d_]*+(?:[-'’./_][^\W\d_]++)*+[-'’./_]?(?:\d|[^\w\s.!?:)\]-].*\w)")
 BARE = re.compile(r"[^\s\"'<>,;]*+")
 # What stands before a closing quote of the same line; an apostrophe inside a word closes nothing.
 QUOTED = {'"': re.compile(r"(?:\\.|[^\"\\\r\n])*+(?=\"(?!\w))"), "'": re.compile(r"(?:\\.|[^'\\\r\n]|(?<=\w)'(?=\w))*+(?=')")}
@@ -196,10 +201,11 @@ def guesses(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, int]
     a keyword and separator of its own, the inner value goes first and the outer counts only if that one is none."""
     found, at = [], 0
 
-    def judge(begin: int, end: int | None) -> bool:
+    def judge(begin: int, end: int | None, marked: bool) -> bool:
         nonlocal at
-        end = BARE.match(text, begin).end() if end is None else end
-        strong = end - begin >= 6 and guess_cost(text[begin:end], least_log10) >= least_log10
+        bare = end is None
+        end = BARE.match(text, begin).end() if bare else end
+        strong = end - begin >= 6 and (marked or not bare or UNLIKE_PROSE.match(text, begin, end) is not None) and guess_cost(text[begin:end], least_log10) >= least_log10
         if strong:
             found.append((begin, end))
             at = max(at, end)
@@ -211,9 +217,10 @@ def guesses(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, int]
             chain.append((m, *_opens(text, m.end())))
         at = chain[-1][0].end(1)
         for m, begin, end in reversed(chain):
-            strong = judge(begin, end)
+            marked = m["mark"].strip() in (":", "=", "=>")
+            strong = judge(begin, end, marked)
             if m[1].lower().startswith("auth") and end is None and (scheme := SCHEME.match(text, begin)) and scheme.end() >= at and not CONTEXT.match(text, scheme.end()):
-                strong |= judge(*_opens(text, scheme.end()))
+                strong |= judge(*_opens(text, scheme.end()), marked)
             if strong:
                 break
     return found

@@ -2,7 +2,8 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that operators use inside under the same names.
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id long, shard int, tokens int, epoch int, spans string, m string, row string, digest string"
+INSIDE = "copies mixed_id id own_id reads passed text_key node head slot curve size mixed part salt fail_bits part_ held n_words".split()
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id long, shard int, tokens int, epoch int, spans string, m string, row string, digest string, " + ", ".join(f"{n} int" for n in INSIDE)
 
 
 @pytest.fixture
@@ -12,7 +13,7 @@ def docs(spark):
     def make(rows, clashing=False):
         full = [(i, r, "en", "s") if not isinstance(r, tuple) else r for i, r in enumerate(rows)]
         full = [(*r, None if r[1] is None else len(r[1])) for r in full]
-        return spark.createDataFrame([(*r, True, 1, 2, 3, 4, "a", "b", "c", "d") for r in full], CLASHING) if clashing else spark.createDataFrame(full, DOCS)
+        return spark.createDataFrame([(*r, True, 1, 2, 3, 4, "a", "b", "c", "d", *range(len(INSIDE))) for r in full], CLASHING) if clashing else spark.createDataFrame(full, DOCS)
 
     return make
 

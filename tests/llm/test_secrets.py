@@ -1,3 +1,5 @@
+import math
+import random
 import hashlib
 import re
 import time
@@ -112,7 +114,9 @@ def test_many_keywords_take_linear_time():
     assert time.monotonic() - began < 30
 
 
-@pytest.mark.parametrize("text", ["a secret garden", "the pin number", "the password is required.", "a token budget", "Secret Service agents", "password (optional)", "token expired, pin questionnaire", "auth pin: required", "a well-known passphrase: everything", "bearer certificates", "token Sicherheit", "Authorization: Digest username"])
+@pytest.mark.parametrize("text", ["a secret garden", "the pin number", "the password is required.", "a token budget", "Secret Service agents", "password (optional)", "token expired, pin questionnaire", "auth pin: required", "a well-known passphrase: everything", "bearer certificates", "token Sicherheit", "Authorization: Digest username",
+    "the password is required for access", "a secret ingredient of cooking", "token expiration handled", "Auth documentation follows here", "token requerido para entrar", "le token obligatoire est", "das secret (ungesagt) bleibt",
+    "Das Passwort ist streng vertraulich und das token Verschlüsselungsverfahren bleibt", "l'auth d'aujourd'hui", "secret weapon/tactics", "la pin desconocida;"])
 def test_prose_behind_a_keyword(docs, text):
     assert S.scan_documents(docs([text])).first().n_guess == 0
     assert docs([text]).select(S.redacted(F.col("text"))).first()[0] == text
@@ -120,3 +124,26 @@ def test_prose_behind_a_keyword(docs, text):
 
 def test_scheme_is_no_secret():
     assert [v for _, _, _, v in S.scan("Authorization: Digest P@ss#9!kQ2vL")] == ["P@ss#9!kQ2vL"]
+
+
+@pytest.mark.parametrize("text, value", [("password is hunter2xQ9zKw! now", "hunter2xQ9zKw!"), ("use token Zq83LmPw1xAA now", "Zq83LmPw1xAA"), ("my passphrase P@sswörd#kQvLx", "P@sswörd#kQvLx"), ("bearer eyJhbGciOi.JIUzI1NiJ9", "eyJhbGciOi.JIUzI1NiJ9")])
+def test_values_behind_a_bare_blank(text, value):
+    assert [v for _, k, _, v in S.scan(text) if k == "guess"] == [value]
+
+
+def test_spans_against_brute_force():
+    """Planted values in prose: exactly those whose least cost over all segmentations reaches the threshold."""
+
+    def cost(value):
+        best = {(0, 0): 0.0}
+        pieces = S.segments(value) + [(i, j, 1.0 + sum(math.log10(S._pool(c)) for c in value[i:j]), "brute") for i in range(len(value)) for j in range(i + 1, len(value) + 1)]
+        for i, j, c, _ in sorted(pieces):
+            for (at, k), have in [x for x in best.items() if x[0][0] == i]:
+                best[j, k + 1] = min(best.get((j, k + 1), math.inf), have + c)
+        return min(c + math.log10(math.factorial(k)) for (at, k), c in best.items() if at == len(value))
+
+    rnd = random.Random(3)
+    for _ in range(60):
+        value = "".join(rnd.choice(["pass", "dragon", "qwert", "1999", "aaa", "xK9", "#q", "Zv", "7", "hello"]) for _ in range(rnd.randrange(1, 5)))
+        want = [value] if len(value) >= 6 and cost(value) >= S.LEAST_LOG10 else []
+        assert [v for _, k, _, v in S.scan(f"plain words before pwd = {value} and behind") if k == "guess"] == want, value
