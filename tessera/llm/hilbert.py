@@ -11,8 +11,8 @@ range's start plus its place in the range.  Documents equal in all metadata, how
 many, so never meet in one task.
 
 Cases: null text has size 8 and the checksum of the empty text; null source,
-lang or doc_id are values of their own; rows that repeat a doc_id are ordered by
-checksum and size, equal ones in any order; an empty table gives no rows; more shards
+lang or doc_id are values of their own; rows that repeat a doc_id are placed by their
+checksums too, equal ones in any order; rows without doc_id are placed at random within their cell; an empty table gives no rows; more shards
 than rows leave some empty; further columns are ignored.
 """
 
@@ -69,6 +69,7 @@ def metadata(docs: DataFrame) -> DataFrame:
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("lone"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         bin_of("source").alias("x"),
@@ -87,12 +88,12 @@ def hilbert_shards(docs: DataFrame, *, shards: int = SHARDS, least_range: int =
     cells = cells.select("x", "y", "z", "curve", (F.sum("n").over(everything) - F.col("n")).alias("first"), F.sum("n").over(whole).alias("total"), "n")
     target = F.greatest(F.lit(least_range), F.ceil(F.col("total") / most_ranges))
     cells = cells.withColumn("ranges", F.ceil(F.col("n") / target).cast("long"))
-    mixed = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("place")), F.lit(1 << 31))
+    mixed = F.pmod(F.xxhash64("doc_id", "lone", "text_crc32", F.lit("place")), F.lit(1 << 31))
     placed = rows.withColumn("mixed", mixed).join(F.broadcast(cells), ["x", "y", "z"]).withColumn("part", F.shiftright(F.col("mixed") * F.col("ranges"), 31))
     counts = placed.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("held"), F.first("first").alias("first"))
     in_cell = Window.partitionBy("curve").orderBy("part")
     begins = counts.select("curve", "part", (F.col("first") + F.sum("held").over(in_cell) - F.col("held")).alias("begin"))
-    in_range = Window.partitionBy("curve", "part").orderBy("mixed", "doc_id", "text_crc32", "size")
+    in_range = Window.partitionBy("curve", "part").orderBy("mixed", "doc_id", "lone", "text_crc32", "size")
     ranked = placed.withColumn("place", F.row_number().over(in_range) - 1).join(begins, ["curve", "part"]).withColumn("rank", F.col("begin") + F.col("place"))
     each, extra = F.expr(f"total div {shards}"), F.col("total") % shards
     large = extra * (each + 1)
@@ -103,14 +104,17 @@ def hilbert_shards(docs: DataFrame, *, shards: int = SHARDS, least_range: int =
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS) -> DataFrame:
-    """Writes documents under shard=k, in slot order, and gives each shard's manifest
-    (rows, bytes, least and greatest curve place, size, source and lang) for file pruning.
-
-    Documents must have distinct ids here, as rows are matched to shards by doc_id."""
-    placed = docs.join(hilbert_shards(docs, shards=shards).select("doc_id", "size", "shard", "slot", "curve"), "doc_id")
-    placed.repartition("shard", F.shiftright("slot", 20)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    ends = [f(c).alias(f"{n}_{c}") for c in ("curve", "size", "source", "lang") for n, f in (("least", F.min), ("most", F.max))]
-    return docs.sparkSession.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *ends)
+    """Writes documents under file_shard=k, in slot order, and gives each shard's manifest
+    (rows, bytes, least and greatest curve place, size and, where docs have them, source and lang) for file pruning.
+
+    Files hold the documents' columns in a struct ``row`` beside slot, curve and size.  Documents must have distinct ids
+    here, as rows are matched to shards by doc_id."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    shard_of = hilbert_shards(docs, shards=shards).select(F.col("doc_id").alias("id"), F.col("shard").alias("file_shard"), "slot", "curve", "size")
+    placed = keyed.join(shard_of, "id").drop("id")
+    placed.repartition("file_shard", F.shiftright("slot", 20)).sortWithinPartitions("file_shard", "slot").write.partitionBy("file_shard").parquet(path)
+    ends = [f(c).alias(f"{n}_{c.removeprefix('row.')}") for c in ("curve", "size", *(f"row.{x}" for x in ("source", "lang") if x in docs.columns)) for n, f in (("least", F.min), ("most", F.max))]
+    return docs.sparkSession.read.parquet(path).groupBy("file_shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *ends)
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from tessera.llm.linear import ftrl_multinomial, softmax, temperature
 FEATURES = 1 << 15
 GRAMS = (1, 2, 3)
 SAMPLE_A_LANG = 700
+MOST_LANGS = 256
 SCALE = 30.0
 CHARS_AT_ONCE = 1 << 19
 _LETTER = re.compile("[A-Za-z]")
@@ -126,17 +127,19 @@ class LanguageModel:
         return [self.names[b] for b in best], p[np.arange(len(texts)), best].tolist()
 
 
-def train(docs: DataFrame, *, sample_a_lang: int = SAMPLE_A_LANG) -> LanguageModel | None:
+def train(docs: DataFrame, *, sample_a_lang: int = SAMPLE_A_LANG, most_langs: int = MOST_LANGS) -> LanguageModel | None:
+    """Learns the ``most_langs`` languages with the most rows, from a sample by hash of row; equal rows count once."""
     learned = _labelled(docs).where("NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    langs = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    langs = {r["lang"]: r["n"] for r in most.collect()}
     if not langs:
         return None
     names = sorted(langs)
     df = document_frequency(learned)
     idf = np.log((1 + sum(langs.values())) / (1 + df)) + 1
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30))
     bound = F.create_map(*(F.lit(x) for k, n in langs.items() for x in (k, int(min(1.0, sample_a_lang / n) * (1 << 30)))))
-    sampled = learned.withColumn("place", place).where(F.col("place") < F.element_at(bound, F.col("lang")))
+    sampled = learned.withColumn("place", place).where(F.col("place") < F.element_at(bound, F.col("lang"))).dropDuplicates(["doc_id", "lang", "text"])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,7 +152,7 @@ def train(docs: DataFrame, *, sample_a_lang: int = SAMPLE_A_LANG) -> LanguageMod
 
         return step
 
-    got = map_arrow(sampled.select("text", "lang", "place"), make, "lang string, place long, at array<int>, n array<int>").toPandas().sort_values("place", kind="stable")
+    got = map_arrow(sampled.select("text", "lang", "place"), make, "lang string, place long, at array<int>, n array<int>").toPandas().sort_values(["place", "lang"], kind="stable")
     rows = [(np.asarray(a, np.int64), np.asarray(n) / max(1, sum(n)) * idf[np.asarray(a, np.int64)] * SCALE) for a, n in zip(got["at"], got["n"])]
     labels = np.array([names.index(x) for x in got["lang"]])
     check = np.arange(len(rows)) % 5 == 4

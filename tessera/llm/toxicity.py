@@ -2,7 +2,7 @@
 
 Features are presences of hashed words and of hashed five-byte word beginnings of the lower-cased
 text.  The model is fitted on a bounded sample of labelled documents (``SAMPLE_TOXIC`` and
-``SAMPLE_CLEAN`` rows by hash of doc_id).  Labels tell toxic or not; grades 1 to 3 of toxic
+``SAMPLE_CLEAN`` rows by hash of doc_id).  Labels tell toxic or not, so only these two grades are observed; grades 1 to 3 of toxic
 documents are the thirds of their weight of evidence: the number of distinct features that the sample
 shows to go with toxicity.  One weight vector serves all ordered thresholds,
 P(grade > k) = sigmoid(w.x - t_k); the output is the expected grade.
@@ -12,7 +12,7 @@ Youden's J, midway between the neighbouring scores, kept within 0.3 and 0.9).
 
 Cases: null or empty text has no features and the model's base severity; null doc_id passes through;
 repeated rows are judged alike; without labels of both kinds all get severity 0 and toxic false; labels of
-unknown or null documents are ignored, of several labels of a document the highest counts; an empty
+unknown or null documents are ignored, of several labels of a document the highest counts, of several rows of a doc_id one is fitted; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -64,6 +64,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFr
     few = known.where("y > 0").orderBy(*order).limit(toxic).union(known.where("y <= 0").orderBy(*order).limit(clean))
     # At most toxic + clean rows of two numbers.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    # Of rows that repeat a doc_id one is taken, so that rows are as bounded as ids.
+    found = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "y", F.col("first.text").alias("text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -40,7 +40,59 @@ def test_shard_edges(edges, nothing):
 def test_shard_files(spark, docs, tmp_path):
     rows = docs([(i, "x" * i, "en", f"s{i % 3}") for i in range(100)])
     manifest = hilbert.write_shards(rows, str(tmp_path / "s"), shards=5).collect()
-    assert sum(r.rows for r in manifest) == 100 and all(r.rows == 20 for r in manifest) and spark.read.parquet(str(tmp_path / "s")).where("shard = 2").count() == 20
+    assert sum(r.rows for r in manifest) == 100 and all(r.rows == 20 for r in manifest) and spark.read.parquet(str(tmp_path / "s")).where("file_shard = 2").count() == 20
+    odd = rows.drop("lang").withColumns({c: F.lit(1) for c in ("shard", "slot", "size", "curve", "id", "row")})
+    manifest = hilbert.write_shards(odd, str(tmp_path / "t"), shards=5)
+    assert sum(r.rows for r in manifest.collect()) == 100 and "least_lang" not in manifest.columns
+    assert spark.read.parquet(str(tmp_path / "t")).select("row.*").columns == odd.columns
+
+
+def curve_place(x, y, z, bits=4):
+    """The place on the three-dimensional curve, bit by bit, independently of columns."""
+    at = [x, y, z]
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(3):
+            if at[i] & q:
+                at[0] ^= q - 1
+            else:
+                t = (at[0] ^ at[i]) & (q - 1)
+                at[0], at[i] = at[0] ^ t, at[i] ^ t
+    for i in (1, 2):
+        at[i] ^= at[i - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        if at[2] & (1 << b):
+            t ^= (1 << b) - 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in at), 2)
+
+
+def test_shards_against_brute_force(docs):
+    """Every document's shard and slot from a sort of all documents."""
+    import xxhash
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    rows = [(i, None if i % 50 == 0 else "é" * (i * 7 % 300), ("en", "fr", None)[i % 3], "hot" if i < 500 else f"s{i % 13}") for i in range(800)]
+    order = []
+    for i, t, lang, source in rows:
+        raw = (t or "").encode()
+        size, crc = len(raw) + 8, zlib.crc32(raw)
+        place = curve_place(chained(source) % 16, min(15, max(0, math.floor(math.log2(size)) - 4)), chained(lang) % 16)
+        order.append((place, chained(i, crc, "place") % (1 << 31), i, size, crc))
+    want, at = {}, 0
+    order.sort()
+    for shard in range(24):
+        for slot in range(800 // 24 + (shard < 800 % 24)):
+            place, _, i, size, crc = order[at]
+            want[i], at = (size, crc, shard, slot, place), at + 1
+    got = hilbert.hilbert_shards(docs(rows), least_range=16).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot, r.curve) for r in got} == want
 
 
 def words(n):
