@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from tessera.operators.fusion import classify
 from tessera.operators.lexical import DIGITS
 
+BUCKETS = 1024
+
 
 def separation(scores: DataFrame) -> DataFrame:
     """cutoff, tpr, fpr, j of every observed score.  scores: score, positive.
 
-    Distinct scores are counted first; the running sums go over those alone."""
+    Distinct scores are counted first.  They lie in BUCKETS equal ranges: running sums go over the ranges, a bounded
+    table, and within each range, so that no task sees all scores."""
     counts = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    up = Window.orderBy(F.desc("score"))
-    whole = Window.partitionBy(F.lit(1))
-    rows = counts.select(F.col("score").alias("cutoff"), (F.sum("p").over(up) / F.sum("p").over(whole)).alias("tpr"), (F.sum("n").over(up) / F.sum("n").over(whole)).alias("fpr"))
+    ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    place = F.floor((F.col("score") - low) / F.nullif(high - low, F.lit(0)) * BUCKETS)
+    counts = counts.withColumn("_b", F.least(F.coalesce(place, F.lit(0)), F.lit(BUCKETS - 1)))
+    above, whole = Window.orderBy(F.desc("_b")), Window.partitionBy(F.lit(1))
+    ranges = counts.groupBy("_b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    ranges = ranges.select("_b", *((F.sum(c).over(above) - F.col(c)).alias(f"{c}_above") for c in "pn"), *(F.sum(c).over(whole).alias(f"{c}_all") for c in "pn"))
+    up = Window.partitionBy("_b").orderBy(F.desc("score"))
+    rows = counts.join(F.broadcast(ranges), "_b").select(F.col("score").alias("cutoff"), *(((F.col(f"{c}_above") + F.sum(c).over(up)) / F.col(f"{c}_all")).alias(r) for c, r in (("p", "tpr"), ("n", "fpr"))))
     return rows.withColumn("j", F.round(F.col("tpr") - F.col("fpr"), DIGITS))
 
 

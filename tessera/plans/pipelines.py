@@ -36,7 +36,7 @@ def reprocess_scope(current: DataFrame, extracted: DataFrame, embed: services.Em
 def retrieve(current: DataFrame, queries: DataFrame, embed: services.Embed | None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(fused results with metadata, judged queries).  queries: query_id, text; embed None: vectors come in an embedding column."""
     rows = store.searchable(current, params)
-    index = lexical.build_index(rows)
+    index = lexical.build_index(rows, keep=True)
     asked = queries if embed is None else queries.withColumn("embedding", services.embed(F.col("text"), embed, params))
     fused, judged = fusion.answerable(index, rows, rows.select("id", "embedding"), asked, params)
     return fused.join(store.metadata(current), "id"), judged

@@ -285,7 +285,7 @@ _CODE_LIST = ", ".join(f"'{c}'" for c in [*fixed.DOMAIN_CODES[:3], *fixed.OTHER_
 
 @register(f"SELECT doc_id, CASE WHEN doc_id % 7 < 3 THEN c ELSE '' END AS domain, CASE WHEN doc_id % 7 BETWEEN 3 AND 5 THEN c ELSE '' END AS other FROM (SELECT doc_id, [{_CODE_LIST}][doc_id % 7 + 1] AS c FROM documents)")
 def scope_codes(spark, sf_dir):
-    text = F.concat(F.col("lang"), F.lit(" MADDE 7- "), _cited(), F.lit(" sayılı Kanunun 16 ncı maddesi; "), _cited(), F.lit(" SAYILI Kanun"))
+    text = F.concat(F.col("lang"), F.lit(" MADDE 7- "), _cited(), F.lit(" sayılı Kanunun 16 ncı maddesi; "), _cited(), F.lit(" SAYILI Kanun; "), F.coalesce("text", F.lit("")))
     rows = _t(spark, sf_dir, "documents").select("doc_id", scope.cited_codes(text).alias("c"))
     return rows.select("doc_id", F.array_join("c.domain", ",").alias("domain"), F.array_join("c.other", ",").alias("other"))
 
@@ -434,7 +434,7 @@ def cosine_topk(spark, sf_dir):
 def _parts(spark: SparkSession, sf_dir: str):
     texts, vectors = _texts(spark, sf_dir), _t(spark, sf_dir, "embeddings")
     queries = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return lexical.build_index(texts), texts, vectors.select(F.col("vec_id").alias("id"), "embedding"), queries
+    return lexical.build_index(texts, keep=True), texts, vectors.select(F.col("vec_id").alias("id"), "embedding"), queries
 
 
 @register(f"WITH {_FUSED} SELECT query_id, id, score, dense_score, dense_rank::INTEGER AS dense_rank, lexical_score, lexical_rank::INTEGER AS lexical_rank, rank::INTEGER AS rank FROM fused")
