@@ -3,12 +3,14 @@
 1. Equal vectors form a class, which the least vec_id stands for.
 2. Spherical k-means is fitted on a bounded sample (``SAMPLE`` classes by hash of
    id, at most ``MOST_CELLS`` cells); every class is assigned to its home cell.  A class also probes each
-   earlier cell that a partner may have for its home: partners are at most
-   sqrt(2 - 2 * ``LEAST``) apart, so a cell behind a farther bisector holds none.  No link is lost to
+   earlier cell that a partner may have for its home: partners are at most the angle
+   arccos(``LEAST``) apart, so a cell behind a farther bisector holds none.  No link is lost to
    cells; how many cells are probed depends on how well the vectors cluster.
-3. The home members of a cell are compared with each other and with the cell's probes, in
-   blocks of about ``BLOCK`` rows by hash.  A block pair computes all its cosines and reports sums of
-   links and a spanning forest, never the pairs.
+3. The home members of a cell are compared with each other and with the cell's probes, in blocks by
+   hash (``block_rows``: about 4 MB of components).  A block pair first bounds all its cosines: a vector is cut
+   down to its part along the ``LEAD`` main axes of the sample and the length of the rest, and the product of
+   two such short vectors is never below the cosine.  Only pairs whose bound reaches ``LEAST`` get
+   their cosine.  A block pair reports sums of links and a spanning forest, never the pairs.
 4. Components come from the forests; one vector of each is kept.
 
 Cosines are in double precision over all rows, whatever their labels.  Cases: vectors that are null, empty,
@@ -30,9 +32,11 @@ from tessera.llm.graph import components
 
 LEAST = 0.95
 SAMPLE = 20_000
-ROWS_A_CELL = 4096
+ROWS_A_CELL = 8192
+LEAST_CELLS = 8
 MOST_CELLS = 4096
-BLOCK = 2048
+LEAD = 16
+SLACK = 1e-5  # bounds are in single precision, whose error on unit vectors is far smaller
 TILE = 256
 
 
@@ -48,7 +52,7 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         far = np.minimum(far, 1 - rows @ rows[pick])
     c = np.array(centres)
     for _ in range(rounds):
-        home = (rows @ c.T).argmax(axis=1)
+        home = np.concatenate([(rows[a : a + TILE] @ c.T).argmax(axis=1) for a in range(0, len(rows), TILE)])
         sums = np.zeros_like(c)
         np.add.at(sums, home, rows)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -64,6 +68,20 @@ def unit(raw: list[bytes], size: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def main_axes(rows: np.ndarray, n: int = LEAD) -> np.ndarray:
+    """The n orthonormal axes that hold most of the rows' squared length, as columns."""
+    return np.linalg.eigh(rows.T @ rows)[1][:, ::-1][:, :n]
+
+
+def shortened(x: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    """Unit rows as their part along the axes (null: the first coordinates) and the length of the rest.
+
+    By Cauchy-Schwarz the product of two shortened rows is never below that of the rows."""
+    head = x[:, :LEAD] if axes is None else x @ axes
+    rest = np.sqrt(np.maximum(0, 1 - (head * head).sum(axis=1, keepdims=True)))
+    return np.concatenate([head, rest], axis=1).astype(np.float32)
+
+
 def narrow(x: np.ndarray) -> bool:
     with np.errstate(over="ignore"):
         return bool((x.astype(np.float32).astype(np.float64) == x).all())
@@ -89,7 +107,7 @@ def describe(vectors: DataFrame) -> DataFrame:
 
 def assign(reps: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
     """node, n, dim, raw, home, probes: the cell of each class and the earlier cells it probes."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    reach = float(np.sqrt(max(0.0, 1 - least * least))) if least > 0 else 2.0
     gaps = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))
     size = centres.shape[1]
 
@@ -100,13 +118,16 @@ def assign(reps: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
             probes: list[list[int]] = [[] for _ in dims]
             own = np.flatnonzero(dims == size)
             if len(own):
-                sims = unit(batch.column("raw").take(pa.array(own)).to_pylist(), size) @ centres.T
-                home = sims.argmax(axis=1)
-                homes[own] = home
-                near = (sims[np.arange(len(own)), home][:, None] - sims) <= reach * gaps[home] + 1e-9
-                near &= np.arange(len(centres)) < home[:, None]
-                for k, row in zip(own.tolist(), near):
-                    probes[k] = np.flatnonzero(row).tolist()
+                rows = unit(batch.column("raw").take(pa.array(own)).to_pylist(), size)
+                for a in range(0, len(own), TILE):
+                    at = own[a : a + TILE]
+                    sims = rows[a : a + TILE] @ centres.T
+                    home = sims.argmax(axis=1)
+                    homes[at] = home
+                    near = (sims[np.arange(len(at)), home][:, None] - sims) <= reach * gaps[home] + 1e-9
+                    near &= np.arange(len(centres)) < home[:, None]
+                    for k, row in zip(at.tolist(), near):
+                        probes[k] = np.flatnonzero(row).tolist()
             columns = [batch.column(c) for c in ("node", "n", "dim", "raw")]
             return pa.RecordBatch.from_arrays([*columns, pa.array(homes), pa.array(probes, pa.list_(pa.int32()))], names=["node", "n", "dim", "raw", "home", "probes"])
 
@@ -115,10 +136,15 @@ def assign(reps: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
     return map_arrow(reps, make, "node long, n long, dim int, raw binary, home int, probes array<int>")
 
 
+def block_rows(dim: Column) -> Column:
+    return F.least(F.lit(8192), F.greatest(F.lit(256), F.floor(F.lit(1 << 19) / dim)))
+
+
 def meetings(placed: DataFrame) -> DataFrame:
     """cell, kind, i, j, side and the class: every block pair that must be compared."""
-    homes = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("hb"))
-    probed = placed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("pb"))
+    blocks = F.ceil(F.count(F.lit(1)) / block_rows(F.max("dim")))
+    homes = placed.groupBy(F.col("home").alias("cell")).agg(blocks.alias("hb"))
+    probed = placed.select("dim", F.explode("probes").alias("cell")).groupBy("cell").agg(blocks.alias("pb"))
     sizes = cut(homes.join(probed, "cell", "left").select("cell", "hb", F.coalesce("pb", F.lit(0).cast("long")).alias("pb")))
     own = placed.withColumnRenamed("home", "cell").join(sizes, "cell").withColumn("b", spread(F.col("node"), F.col("hb")))
 
@@ -133,30 +159,50 @@ def meetings(placed: DataFrame) -> DataFrame:
     return inside.unionByName(facing).unionByName(guests)
 
 
-def compare(group: pa.Table, least: float = LEAST) -> pa.Table:
+def linked_pairs(x: np.ndarray, short: np.ndarray, here: np.ndarray, there: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x) of the pairs of a row here and a row there with a cosine of at least ``least``."""
+    maybe = short[here] @ short[there].T >= least - SLACK
+    r, c = np.nonzero(maybe)
+    if len(r) * 8 > maybe.size:  # so many that one product costs less
+        r, c = np.nonzero(maybe & (x[here] @ x[there].T >= least))
+        return here[r], there[c]
+    step = max(1, (1 << 21) // x.shape[1])
+    sure = [np.einsum("ij,ij->i", x[here[r[a : a + step]]], x[there[c[a : a + step]]]) >= least for a in range(0, len(r), step)]
+    good = np.concatenate(sure) if sure else np.zeros(0, bool)
+    return here[r[good]], there[c[good]]
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each place's least place reachable, after links a-b join those of ``root``."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def compare(group: pa.Table, least: float = LEAST, axes: np.ndarray | None = None) -> pa.Table:
     """Links of one block pair: for each linked node its sum of links and its tree's root."""
-    x = unit(group["raw"].to_pylist(), group["dim"][0].as_py())
+    size = group["dim"][0].as_py()
+    x = unit(group["raw"].to_pylist(), size)
+    short = shortened(x, axes if axes is not None and len(axes) == size else None)
     side, n, nodes = group["side"].to_numpy(), group["n"].to_numpy(), group["node"].to_numpy()
     whole = len(np.unique(side)) == 1 and group["kind"][0].as_py() == "h"
-    hit = np.zeros((len(x), len(x)), bool)
-    tiles = range(0, len(x), TILE)
-    for a in tiles:
-        hit[a : a + TILE] = x[a : a + TILE] @ x.T >= least
-        if not whole:
-            hit[a : a + TILE] &= side[a : a + TILE, None] != side
-    np.fill_diagonal(hit, False)
-    linked = np.flatnonzero(hit.any(axis=1))
-    some = hit[np.ix_(linked, linked)]
-    root = np.arange(len(linked))
-    changed = len(linked) > 0
-    while changed:  # least place reachable
-        near = np.concatenate([np.where(some[a : a + TILE], root, len(linked)).min(axis=1) for a in range(0, len(linked), TILE)])
-        new = np.minimum(root, near)
-        new = np.minimum(new, new[new])
-        changed = bool((new != root).any())
-        root = new
-    sums = np.concatenate([some[a : a + TILE] @ n[linked] for a in range(0, len(linked), TILE)]) if len(linked) else np.zeros(0, np.int64)
-    return pa.table({"node": nodes[linked], "links": sums.astype(np.int64), "root": nodes[linked[root]]})
+    sums, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    first, second = (np.arange(len(x)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for a in range(0, len(first), TILE):
+        i, j = linked_pairs(x, short, first[a : a + TILE], second[a:] if whole else second, least)
+        if whole:
+            i, j = i[i < j], j[i < j]
+        np.add.at(sums, i, n[j])
+        np.add.at(sums, j, n[i])
+        root = joined(root, i, j)
+    linked = np.flatnonzero(sums)
+    return pa.table({"node": nodes[linked], "links": sums[linked], "root": nodes[root[linked]]})
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = LEAST, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
@@ -171,10 +217,12 @@ def near_duplicates(vectors: DataFrame, *, least: float = LEAST, rows_a_cell: in
         usual = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()["dim"]
         some = reps.where(F.col("dim") == usual).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("raw").toPandas()["raw"].tolist()
         sample = unit([bytes(r) for r in some], usual)
-        centres = spherical_kmeans(sample, max(1, min(MOST_CELLS, len(sample), -(-count // rows_a_cell))))
+        centres = spherical_kmeans(sample, max(1, min(MOST_CELLS, len(sample), max(LEAST_CELLS, -(-count // rows_a_cell)))))
+        axes = main_axes(sample)
         placed = cut(assign(reps, centres, least))
+
         def run(key: tuple, group: pa.Table) -> pa.Table:
-            return compare(group, least)
+            return compare(group, least, axes)
 
         found = cut(meetings(placed).groupBy("cell", "kind", "i", "j").applyInArrow(run, "node long, links long, root long"))
         linked = cut(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup as E
 from tessera.llm import language, linear, toxicity
@@ -120,15 +121,31 @@ def brute(rows, least=0.95):
     return {i: (links[i], find(i)) for i, _ in rows}
 
 
-@pytest.mark.parametrize("cell, block", [(4096, 2048), (40, 16)])
-def test_embeddings_against_brute_force(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(E, "BLOCK", block)
+@pytest.mark.parametrize("size", [8, 40])
+@pytest.mark.parametrize("least", [0.95, -1.0])
+def test_short_vectors_bound_cosines(size, least):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, size)) * np.linspace(3, 0.1, size)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for axes in (None, E.main_axes(x)):
+        short = E.shortened(x, axes)
+        assert (short @ short.T >= x @ x.T - E.SLACK).all()
+        i, j = E.linked_pairs(x, short, np.arange(100), np.arange(100, 300), least)
+        assert set(zip(i, j)) == {(a, b + 100) for a, b in np.argwhere(x[:100] @ x[100:].T >= least)}
+
+
+@pytest.mark.parametrize("wide", [0, 32])
+@pytest.mark.parametrize("cell, block, tile", [(4096, 2048, 256), (40, 16, 7)])
+def test_embeddings_against_brute_force(spark, monkeypatch, cell, block, tile, wide):
+    monkeypatch.setattr(E, "block_rows", lambda _: F.lit(block))
+    monkeypatch.setattr(E, "TILE", tile)
     rng = np.random.default_rng(3)
     rows = []
     for k in range(60):
         base = rng.normal(size=8)
         for _ in range(rng.choice((1, 2, 6))):
             rows.append((base + rng.normal(size=8) * rng.choice((0, 0.1, 0.3))).astype(np.float32).tolist())
+    rows = [r + (rng.normal(size=wide) / 20).tolist() for r in rows]
     rows += [rows[0]] * 30 + [[0.0] * 8, None, [], [1.0, None] + [0.0] * 6, [float("nan")] * 8, [float("inf")] * 8, [1.0, 2.0], [2.0, 4.0], [3.0e38] * 8, [1.0e-38] * 8]
     rows = list(enumerate(rows))
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, node string, n int")
