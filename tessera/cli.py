@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,13 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("extract")
     e.add_argument("--root", required=True)
     e.add_argument("--show-flagged", action="store_true")
+    e.add_argument("--limit", type=int)
     i = sub.add_parser("ingest")
     i.add_argument("--root", required=True)
     i.add_argument("--store", required=True)
-    i.add_argument("--reprocess-scope", action="store_true")
+    which = i.add_mutually_exclusive_group()
+    which.add_argument("--reprocess-scope", action="store_true")
+    which.add_argument("--only", nargs="+", metavar="PATH")
     i.add_argument("--dry-run", action="store_true")
     for name in ("search", "answer"):
         s = sub.add_parser(name)
@@ -45,15 +49,21 @@ def main(argv: list[str] | None = None) -> int:
             print("the store is empty", file=sys.stderr)
             return 3
     if args.command == "extract":
-        docs = files.extract(files.scan(spark, args.root))
+        docs = files.extract(files.scan(spark, args.root, limit=args.limit))
         quality.extraction_report(docs).orderBy("kind", F.desc("n")).show(100, truncate=False)
         if args.show_flagged:
             docs.where(F.size("flags") > 0).select("path", "flags").show(100, truncate=False)
     elif args.command == "ingest":
-        extracted = files.extract(files.scan(spark, args.root))
+        try:
+            extracted = files.extract(files.scan(spark, args.root, paths=args.only))
+        except AnalysisException as e:  # a path that isn't there
+            print(e, file=sys.stderr)
+            return 2
         current = store.read_snapshot(spark, args.store)
-        step = pipelines.reprocess_scope if args.reprocess_scope else pipelines.ingest
-        after = step(current, extracted, embed)
+        if args.only:
+            after = pipelines.reprocess(current, extracted, extracted.select(F.col("path").alias("source_path")), embed)
+        else:
+            after = (pipelines.reprocess_scope if args.reprocess_scope else pipelines.ingest)(current, extracted, embed)
         if args.dry_run:
             after.groupBy("active", "indexable", "scope_label").count().show()
         else:
@@ -65,9 +75,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "search":
             results, judged = pipelines.retrieve(current, queries, embed)
             judged.show(truncate=False)
+            evaluate.retrieval_report(results, judged).show(truncate=False)
             results.where(F.col("rank") <= args.top_k).orderBy("rank").select("rank", "score", "source_path", "article_ref", "text").show(truncate=80)
         else:
-            pipelines.ask(current, queries, embed, services.echo_generator).show(truncate=False)
+            answers = pipelines.ask(current, queries, embed, services.echo_generator)
+            answers.show(truncate=False)
+            evaluate.answer_report(answers).show(truncate=False)
     else:
         active = current.where("active")
         opening = evaluate.opening_texts(active).join(evaluate.document_titles(active), "source_path")

@@ -162,6 +162,12 @@ def slugify(c: Column, most: int = 100) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(c, r"^-+|-+$", ""), F.lit("")), F.lit("belge"))
 
 
+def category_slug(href: Column, categories: tuple[str, ...]) -> Column:
+    """The last part of a link's path if it is one of the categories; null otherwise."""
+    last = F.element_at(F.split(F.regexp_replace(href, "/+$", ""), "/"), -1)
+    return F.when(last.isin(*categories), last)
+
+
 def classify_version(label: Column) -> Column:
     """Kind of a version label: son_versiyon, degisiklik, eski_versiyon or diger."""
     low = F.lower(F.regexp_replace(fold_diacritics(label), r"[^\x00-\x7f]", ""))

@@ -24,6 +24,22 @@ def rewrite_accepted(question: Column, candidate: Column) -> Column:
     return (candidate != "") & ~fresh & F.contains(candidate, F.lit("?")) & ~candidate.rlike(fixed.ANSWER_SHAPED) & ~long
 
 
+REWRITE_TASK = (
+    "Bir sohbetin son sorusunu, sohbeti görmeyen biri de anlasın diye tek satırlık bağımsız bir soruya çevir; soruya cevap verme. "
+    "Eksik konuyu yalnızca verilen konuşmadan al. Soru zaten bağımsızsa yalnızca YENİ yaz."
+)
+REWRITE_EXAMPLES = (
+    ("Kullanıcı: Sayaç kontrolü kaç yılda bir yapılır?\nAsistan: Sayaç kontrolü on yılda bir yapılır.", "peki kim yapar?", "Sayaç kontrolünü kim yapar?"),
+    ("Kullanıcı: Bağlantı başvurusu nereye yapılır?\nAsistan: Bağlantı başvurusu dağıtım şirketine yapılır.", "bunun için ücret alınır mı?", "Bağlantı başvurusu için ücret alınır mı?"),
+)
+
+
+def rewrite_prompt(history: Column, question: Column) -> Column:
+    """The task, two worked examples, then the conversation (as ``history`` gives it), the last question and the task again."""
+    shown = "".join(f"[Önceki tur]\n{said}\n\nSON SORU: {asked}\n\n{wanted}\n\n" for said, asked, wanted in REWRITE_EXAMPLES)
+    return F.concat(F.lit(f"{REWRITE_TASK}\n\n{shown}"), history, F.lit("\n\nSON SORU: "), question, F.lit(f"\n\n{REWRITE_TASK}"))
+
+
 def rewrite(question: Column, has_turns: Column, raw: Column) -> Column:
     """(query, was_follow_up): what to search for.  raw: the model's text, null if it wasn't asked or failed."""
 

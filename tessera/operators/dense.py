@@ -41,7 +41,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, params: Params =
 
     Queries, a stated set, go in blocks of QUERIES_AT_ONCE as a matrix; each Arrow batch
     of vectors is multiplied with it and leaves at most k rows a query for the final ranking.
-    Null vectors are left out; with k of 0 or less there is no row.
+    Null vectors are left out; with k of 0 or less, or without queries, there is no row.
     """
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)[id_col]}, score double"
     if k <= 0:
@@ -54,10 +54,10 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, params: Params =
         if len(block) == QUERIES_AT_ONCE:
             part, block = rows.mapInArrow(_scorer(block, k), schema), []
             found = part if found is None else found.unionByName(part)
-    if block or found is None:
+    if block:
         part = rows.mapInArrow(_scorer(block, k), schema)
         found = part if found is None else found.unionByName(part)
-    return top_k(found, k)
+    return top_k(found if found is not None else rows.sparkSession.createDataFrame([], schema), k)
 
 
 def _scorer(block: list, k: int):
@@ -71,7 +71,7 @@ def _scorer(block: list, k: int):
 
     def run(batches):
         for batch in batches:
-            if not names or not batch.num_rows:
+            if not batch.num_rows:
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             lengths = np.linalg.norm(flat, axis=1, keepdims=True)

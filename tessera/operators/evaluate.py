@@ -68,6 +68,46 @@ def gate_report(probes: DataFrame, threshold: float, floor: float) -> DataFrame:
     return probes.agg(*right, F.count(F.lit(1)).alias("total"), F.count_if(typed != folded).alias("flips"))
 
 
+def path_accuracy(probes: DataFrame, dense: tuple[float, float], fused: tuple[float, float]) -> DataFrame:
+    """path, right_typed, right_folded, total, flips: ``gate_report`` of the dense and of the fused scores, each with its (threshold, floor).
+
+    probes: answerable, dense, dense_folded, fused, fused_folded."""
+
+    def judged(path: str, cutoffs: tuple[float, float]) -> DataFrame:
+        scores = probes.select("answerable", F.col(path).alias("typed"), F.col(f"{path}_folded").alias("folded"))
+        return gate_report(scores, *cutoffs).withColumn("path", F.lit(path))
+
+    return judged("dense", dense).unionByName(judged("fused", fused))
+
+
+def leaks(probes: DataFrame, threshold: float, floor: float) -> DataFrame:
+    """Off-domain probes that the gate doesn't refuse, with their decision.  probes: off_domain, fused."""
+    return probes.where("off_domain").withColumn("decision", classify(F.col("fused"), threshold, floor)).where("decision <> 'NOT_FOUND'")
+
+
+def off_domain_sweep(probes: DataFrame, threshold: float, floor: float) -> DataFrame:
+    """refused, total: off-domain probes that the gate turns away, of all."""
+    refused = F.count_if(classify(F.col("fused"), threshold, floor) == "NOT_FOUND")
+    return probes.where("off_domain").agg(refused.alias("refused"), F.count(F.lit(1)).alias("total"))
+
+
+def answer_report(answers: DataFrame) -> DataFrame:
+    """By status: answers, weak ones, mean confidence, sources retrieved and dropped for space, citations, labels never supplied."""
+    return answers.groupBy("status").agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if("low_confidence").alias("weak"), F.round(F.avg("confidence"), DIGITS).alias("mean_confidence"), F.sum("chunks_retrieved").alias("retrieved"),
+        F.sum("chunks_dropped").alias("dropped"), F.sum(F.size("citations")).alias("cited"), F.sum(F.size("hallucinated_labels")).alias("hallucinated"),
+    )
+
+
+def retrieval_report(results: DataFrame, judged: DataFrame) -> DataFrame:
+    """By decision: queries, mean confidence and coverage, results that both rankers, only the dense or only the lexical one found."""
+    d, x = F.col("dense_rank").isNotNull(), F.col("lexical_rank").isNotNull()
+    found = results.groupBy("query_id").agg(F.count_if(d & x).alias("both"), F.count_if(d & ~x).alias("dense_only"), F.count_if(x & ~d).alias("lexical_only"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("both", "dense_only", "lexical_only")]
+    means = [F.round(F.avg(c), DIGITS).alias(f"mean_{c}") for c in ("confidence", "coverage")]
+    return judged.join(found, "query_id", "left").groupBy("decision").agg(F.count(F.lit(1)).alias("queries"), *means, *sums)
+
+
 def score_distribution(scores: DataFrame) -> DataFrame:
     """least, median, mean and greatest score of each class."""
     return scores.groupBy("positive").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.median("score").alias("median"), F.round(F.avg("score"), DIGITS).alias("mean"), F.max("score").alias("most"))

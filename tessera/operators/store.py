@@ -120,6 +120,13 @@ def ingest_totals(store: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def ingest_report(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """disposition, documents, embedded, skipped, excluded: what an upsert of the batch does, by disposition and, where it is null, in all."""
+    kind = batch.groupBy("source_path").agg(F.max("disposition").alias("disposition"))
+    sums = [F.sum(c).alias(c) for c in ("embedded", "skipped", "excluded")]
+    return ingest_totals(store, batch).join(kind, "source_path").rollup("disposition").agg(F.count(F.lit(1)).alias("documents"), *sums)
+
+
 def searchable(store: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """What both rankers read: active and indexable, vectors of the right size."""
     from tessera.operators.dense import checked

@@ -360,6 +360,17 @@ def store_upsert(spark, sf_dir):
     return _shown(store.upsert(first, _version(docs, F.when(F.col("doc_id") % 3 == 0, "B").otherwise("A"))))
 
 
+@register("""
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'IN_SCOPE' ELSE 'FILTERED' END AS disposition, count(*) AS documents, count_if(doc_id % 3 = 0 AND doc_id % 5 <> 0) AS embedded,
+  count_if(doc_id % 3 <> 0) AS skipped, count_if(doc_id % 3 = 0 AND doc_id % 5 = 0) AS excluded FROM documents GROUP BY ROLLUP (1)""")
+def ingest_report(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    first = store.upsert(store.empty(spark), _version(docs, F.lit("A")))
+    number = F.regexp_extract("source_path", r"(\d+)$", 1).cast("long")
+    batch = _version(docs, F.when(F.col("doc_id") % 3 == 0, "B").otherwise("A")).withColumns({"indexable": number % 5 != 0, "disposition": F.when(number % 2 == 0, "IN_SCOPE").otherwise("FILTERED")})
+    return store.ingest_report(first, batch)
+
+
 @register(f"""
 SELECT 'doc/' || doc_id AS source_path, {_A} AS file_sha256, 0 AS chunk_index, true AS active, true AS indexable FROM documents
 UNION ALL SELECT 'doc/' || doc_id, {_B}, 0, false, true FROM documents WHERE doc_id % 3 = 0""")
@@ -614,6 +625,33 @@ def gate_report(spark, sf_dir):
     return evaluate.gate_report(probes, 0.7, 0.4)
 
 
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.round(F.col("score") * f, 9).alias(n) for n, f in (("fused", 1.0), ("fused_folded", 0.9), ("dense", 0.8), ("dense_folded", 0.7))]
+    return _scores(spark, sf_dir).select("doc_id", F.col("positive").alias("answerable"), (~F.col("positive") & (F.col("doc_id") % 5 != 0)).alias("off_domain"), *parts)
+
+
+_DENSE = _GATE.format("{0}", DEFAULTS.dense_threshold, DEFAULTS.dense_floor)
+
+
+@register(f"""
+WITH {_SCORES}, g AS (
+  SELECT 'fused' AS path, positive, {_DEC.format('score')} AS a, {_DEC.format('round(score * 0.9, 9)')} AS b FROM sc
+  UNION ALL SELECT 'dense', positive, {_DENSE.format('round(score * 0.8, 9)')}, {_DENSE.format('round(score * 0.7, 9)')} FROM sc)
+SELECT path, count_if((a <> 'NOT_FOUND') = positive) AS right_typed, count_if((b <> 'NOT_FOUND') = positive) AS right_folded, count(*) AS total, count_if(a <> b) AS flips FROM g GROUP BY path""")
+def path_accuracy(spark, sf_dir):
+    return evaluate.path_accuracy(_probes(spark, sf_dir), (DEFAULTS.dense_threshold, DEFAULTS.dense_floor), (0.7, 0.4))
+
+
+@register(f"WITH {_SCORES} SELECT count_if({_DEC.format('score')} = 'NOT_FOUND') AS refused, count(*) AS total FROM sc WHERE NOT positive AND doc_id % 5 <> 0")
+def off_domain_sweep(spark, sf_dir):
+    return evaluate.off_domain_sweep(_probes(spark, sf_dir), 0.7, 0.4)
+
+
+@register(f"WITH {_SCORES} SELECT doc_id, score AS fused, {_DEC.format('score')} AS decision FROM sc WHERE NOT positive AND doc_id % 5 <> 0 AND score >= 0.4")
+def off_domain_leaks(spark, sf_dir):
+    return evaluate.leaks(_probes(spark, sf_dir), 0.7, 0.4).select("doc_id", "fused", "decision")
+
+
 @register(f"""
 WITH {_BM25}, g AS (SELECT item_id AS query_id, text[1:30] AS expected FROM benchmark),
 h AS (SELECT g.query_id, min(rank) AS first FROM lex JOIN d USING (id) JOIN g USING (query_id) WHERE contains(d.text, expected) GROUP BY g.query_id)
@@ -673,6 +711,12 @@ def stratified_sample(spark, sf_dir):
     return evaluate.stratified_sample(rows, 80, stratum="lang").select("id", "lang")
 
 
+@register("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang END AS category FROM documents")
+def category_slugs(spark, sf_dir):
+    href = F.concat(F.lit("https://host/list/"), F.col("lang"), F.repeat(F.lit("/"), (F.col("doc_id") % 3).cast("int")))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.category_slug(href, ("en", "de")).alias("category"))
+
+
 # --- further operators -----------------------------------------------------------------------------------------
 
 

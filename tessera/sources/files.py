@@ -27,9 +27,19 @@ PAGES = "array<struct<number:int,text:string,needs_ocr:boolean>>"
 Converter = Callable[[bytes, str], list[tuple[int | None, str]]]
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, content of every file below root; Spark's file listing passes over empty files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+def scan(spark: SparkSession, root: str, *, paths: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """path, length, content of every file below root, or of the given paths alone; with a limit the first ones by path.
+
+    Spark's file listing passes over empty files."""
+
+    def listed(at: str | list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "length", "content")
+
+    rows = listed(root if paths is None else paths) if paths is None or paths else listed(root).limit(0)
+    if limit is not None:
+        first = [r.path for r in rows.select("path").orderBy("path").limit(limit).collect()]
+        rows = listed(first) if first else rows.limit(0)
+    return rows
 
 
 def _wide(name: str) -> Column:
@@ -178,8 +188,15 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 MANIFEST = "title string, document_group string, category string, version_label string, version_kind string, rg_date string, rg_number string, is_mulga boolean, is_current boolean, source_url string, local_path string"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Entries of one JSON array, or, with ``lines``, of what ``write_manifest`` wrote."""
+    return spark.read.schema(MANIFEST).option("multiLine", not lines).json(path)
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """Adds entries, one JSON object a line; columns beyond the manifest's stay out, missing ones are null."""
+    fields = [f.strip().split(" ") for f in MANIFEST.split(",")]
+    entries.select(*((F.col(n) if n in entries.columns else F.lit(None)).cast(t).alias(n) for n, t in fields)).write.mode("append").json(path)
 
 
 def new_entries(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -79,6 +79,16 @@ def test_questions_and_manifest(spark, tmp_path):
     have = files.read_manifest(spark, str(tmp_path / "m.json"))
     found = spark.createDataFrame([("u1",), ("u2",)], "source_url string")
     assert [r.source_url for r in files.new_entries(found, have).collect()] == ["u2"]
+    kept = str(tmp_path / "kept")
+    for part in (have, files.new_entries(found, have).withColumn("extra", F.lit(1))):
+        files.write_manifest(part, kept)
+    assert {(r.source_url, r.title) for r in files.read_manifest(spark, kept, lines=True).collect()} == {("u1", "t"), ("u2", None)}
+
+
+def test_scan_of_some(spark, folder):
+    every = sorted(r.path for r in files.scan(spark, folder).collect())
+    assert sorted(r.path for r in files.scan(spark, folder, limit=2).collect()) == every[:2] and files.scan(spark, folder, limit=0).count() == 0
+    assert [r.path for r in files.scan(spark, folder, paths=every[1:2]).collect()] == every[1:2] and files.scan(spark, folder, paths=[]).count() == 0
 
 
 def test_stream(spark, folder, tmp_path):

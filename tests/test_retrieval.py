@@ -46,7 +46,7 @@ def test_cosines(spark):
     got = dense.cosine_topk(v, q, 10).orderBy("query_id", "rank").collect()
     assert [(r.id, round(r.score, 6)) for r in got if r.query_id == 0] == [(1, 1), (6, 1), (2, 0.8), (3, 0.6), (4, 0), (5, 0)]
     assert all(r.score == 0 for r in got if r.query_id == 1) and not [r for r in got if r.query_id == 2]
-    assert dense.cosine_topk(v, q, 0).count() == 0
+    assert dense.cosine_topk(v, q, 0).count() == 0 and dense.cosine_topk(v, q.where("query_id > 1"), 5).count() == 0
     native = v.select(dense.cosine(F.col("embedding"), F.array(*map(F.lit, unit(1, 0)))).alias("c")).where("c is not null").collect()
     assert [round(r.c, 6) for r in native][:5] == [1, 0.8, 0.6, 0, 0]
     assert v.where("id = 2").select(dense.l2_normalize(F.col("embedding")).alias("u")).first()["u"][:2] == pytest.approx([0.8, 0.6], abs=1e-6)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answer, conversation, quality, services, store
+from tessera.operators import answer, conversation, evaluate, quality, services, store
 from tessera.params import DEFAULTS, Params
 from tessera.plans import pipelines
 
@@ -156,3 +156,38 @@ def test_pipelines(spark, tmp_path):
     turns = spark.createDataFrame([(7, 1, "önlisans süresi ne kadardır bana anlat", "yirmi dört ay"), (7, 2, "peki bu süre?", None)], "conv_id long, exchange int, question string, answer string")
     talked = pipelines.converse(current, turns, embed, lambda prompts: ["Önlisans süresi kaç aydır?"]).first()
     assert talked.was_follow_up and talked.rewritten_query == "Önlisans süresi kaç aydır?"
+
+    # Every question in turn: a rewrite sees the answer before it, refusals included.
+    def model(prompts):
+        asked = prompts[0]
+        if not asked.startswith(conversation.REWRITE_TASK):
+            return services.echo_generator(prompts)
+        recap = asked.rpartition("[Önceki tur]")[2]
+        assert recap.endswith(conversation.REWRITE_TASK) and asked.count("SON SORU: ") == 3
+        return ["Dağıtım bedeli kurul tarafından mı belirlenir?" if "yirmi dört aydır" in recap else "Stok yükümlülüğünün istisnası nedir?" if "bulunamadı" in recap else "YENİ"]
+
+    turns = [(7, 1, "önlisans süresi yirmi dört aydır"), (7, 2, "peki bu bedel?"), (8, 1, "rafineri stok yükümlülüğü kapsamı nedir acaba"), (8, 2, "bunun istisnası?"), (9, 1, "peki bu?")]
+    rows = {(r.query_id, r.exchange): r for r in pipelines.converse_all(current, spark.createDataFrame(turns, "conv_id long, exchange int, question string"), embed, model).collect()}
+    assert len(rows) == 5 and not any(rows[k].was_follow_up for k in ((7, 1), (8, 1), (9, 1)))
+    assert rows[7, 1].status == "generated" and rows[7, 2].rewritten_query.startswith("Dağıtım bedeli") and rows[7, 2].question == "peki bu bedel?"
+    assert rows[8, 1].status == "not_found" and rows[8, 2].rewritten_query == "Stok yükümlülüğünün istisnası nedir?"
+    assert pipelines.converse_all(current, spark.createDataFrame([], "conv_id long, exchange int, question string"), embed, model).count() == 0
+
+    questions = spark.createDataFrame([(0, "önlisans süresi yirmi dört aydır", True), (1, "rafineri stok", False)], "query_id long, text string, answerable boolean")
+    probes = pipelines.probe(current, questions, embed)
+    p = {r.query_id: r for r in probes.collect()}
+    assert p[0].fused > 0.3 and p[0].coverage == 1 and p[0].dense > p[1].dense and p[1].fused == 0 and p[0].top is not None
+    assert p[0].fused_folded == pytest.approx(p[0].dense_folded * 1, abs=0.5) and p[0].fused_folded <= p[0].fused
+    accuracy = {r.path: r for r in evaluate.path_accuracy(probes, (0.6, 0.3), (0.33, 0.19)).collect()}
+    assert accuracy["fused"].right_typed == 2 and accuracy["dense"].total == 2
+    assert tuple(evaluate.off_domain_sweep(probes.withColumn("off_domain", ~F.col("answerable")), 0.33, 0.19).first()) == (1, 1)
+
+    results, judged = pipelines.retrieve(current, questions, embed)
+    said = {r.decision: r for r in evaluate.retrieval_report(results, judged).collect()}
+    assert said["NOT_FOUND"].queries == 1 and sum(r.both + r.dense_only + r.lexical_only for r in said.values()) == results.count()
+    report = {r.status: r for r in evaluate.answer_report(found).collect()}
+    assert report["generated"].answers == 1 and report["generated"].cited == 1 and report["not_found"].cited == 0
+
+    again = pipelines.reprocess(current, docs, spark.createDataFrame([("p/1",), ("p/none",)], "source_path string"), embed)
+    assert again.where("active").count() == current.where("active").count()
+    assert pipelines.reprocess(current, docs.limit(0), spark.createDataFrame([("p/1",)], "source_path string"), embed).count() == 0
