@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tessera.operators import answer, conversation, evaluate, quality, services, store
 from tessera.params import DEFAULTS, Params
 from tessera.plans import pipelines
+from tessera.sources import tables
 
 
 def batch(spark, *rows):
@@ -151,6 +152,7 @@ def test_pipelines(spark, tmp_path):
     current = store.read_snapshot(spark, root)
     assert current.where("active AND indexable").count() == 2
     found = pipelines.ask(current, spark.createDataFrame([(0, "önlisans süresi yirmi dört aydır"), (1, "rafineri stok")], "query_id long, text string"), embed, services.echo_generator, Params())
+    found = tables.settle(found)
     rows = {r.query_id: r for r in found.collect()}
     assert rows[0].status == "generated" and len(rows[0].citations) == 1 and rows[1].decision == "NOT_FOUND"
     turns = spark.createDataFrame([(7, 1, "önlisans süresi ne kadardır bana anlat", "yirmi dört ay"), (7, 2, "peki bu süre?", None)], "conv_id long, exchange int, question string, answer string")
@@ -174,7 +176,7 @@ def test_pipelines(spark, tmp_path):
     assert pipelines.converse_all(current, spark.createDataFrame([], "conv_id long, exchange int, question string"), embed, model).count() == 0
 
     questions = spark.createDataFrame([(0, "önlisans süresi yirmi dört aydır", True), (1, "rafineri stok", False)], "query_id long, text string, answerable boolean")
-    probes = pipelines.probe(current, questions, embed)
+    probes = tables.settle(pipelines.probe(current, questions, embed))
     p = {r.query_id: r for r in probes.collect()}
     assert p[0].fused > 0.3 and p[0].coverage == 1 and p[0].dense > p[1].dense and p[1].fused == 0 and p[0].top is not None
     assert p[0].fused_folded == pytest.approx(p[0].dense_folded * 1, abs=0.5) and p[0].fused_folded <= p[0].fused
@@ -182,7 +184,7 @@ def test_pipelines(spark, tmp_path):
     assert accuracy["fused"].right_typed == 2 and accuracy["dense"].total == 2
     assert tuple(evaluate.off_domain_sweep(probes.withColumn("off_domain", ~F.col("answerable")), 0.33, 0.19).first()) == (1, 1)
 
-    results, judged = pipelines.retrieve(current, questions, embed)
+    results, judged = map(tables.settle, pipelines.retrieve(current, questions, embed))
     said = {r.decision: r for r in evaluate.retrieval_report(results, judged).collect()}
     assert said["NOT_FOUND"].queries == 1 and sum(r.both + r.dense_only + r.lexical_only for r in said.values()) == results.count()
     report = {r.status: r for r in evaluate.answer_report(found).collect()}
