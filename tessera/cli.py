@@ -55,13 +55,14 @@ def main(argv: list[str] | None = None) -> int:
             docs.where(F.size("flags") > 0).select("path", "flags").show(100, truncate=False)
     elif args.command == "ingest":
         try:
-            extracted = files.extract(files.scan(spark, args.root, paths=args.only))
+            scanned = files.scan(spark, args.root, paths=args.only)
         except AnalysisException as e:  # a path that isn't there
             print(e, file=sys.stderr)
             return 2
+        extracted = files.extract(scanned)
         current = store.read_snapshot(spark, args.store)
         if args.only:
-            after = pipelines.reprocess(current, extracted, extracted.select(F.col("path").alias("source_path")), embed)
+            after = pipelines.reprocess(current, extracted, scanned.select(F.col("path").alias("source_path")), embed)
         else:
             after = (pipelines.reprocess_scope if args.reprocess_scope else pipelines.ingest)(current, extracted, embed)
         if args.dry_run:
