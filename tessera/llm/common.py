@@ -137,3 +137,11 @@ def sifted(df: DataFrame, key: Column, rows: DataFrame, name: str) -> DataFrame:
 def spread(column: Column, n: int | Column) -> Column:
     """A bucket from 0 to n - 1 by the column's hash."""
     return F.pmod(F.xxhash64(column), F.lit(n) if isinstance(n, int) else n)
+
+
+def hash32(*parts: Column) -> Column:
+    """A uniform 32-bit number by hash; the same in any engine that has md5.  Null parts are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+
+
+HASH32_SQL = "('0x' || substr(md5({}), 1, 8))::BIGINT"

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import HASH32_SQL, cut, hash32
 
 BITS = 4
 DIMENSIONS = 3
@@ -65,7 +65,7 @@ def metadata(docs: DataFrame) -> DataFrame:
 
     def bin_of(name: str) -> Column:
         value = F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
-        return F.pmod(F.xxhash64(value), F.lit(bins)).cast("int")
+        return (hash32(F.coalesce(F.concat(F.lit("="), value), F.lit("null"))) % bins).cast("int")
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -73,7 +73,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         bin_of("source").alias("x"),
-        F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.log2(size)) - 4)).cast("int").alias("y"),
+        F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.length(F.bin(size)) - 5)).cast("int").alias("y"),
         bin_of("lang").alias("z"),
     )
 
@@ -88,8 +88,8 @@ def hilbert_shards(docs: DataFrame, *, shards: int = SHARDS, least_range: int =
     cells = cells.select("x", "y", "z", "curve", (F.sum("n").over(everything) - F.col("n")).alias("first"), F.sum("n").over(whole).alias("total"), "n")
     target = F.greatest(F.lit(least_range), F.ceil(F.col("total") / most_ranges))
     cells = cells.withColumn("ranges", F.ceil(F.col("n") / target).cast("long"))
-    mixed = F.pmod(F.xxhash64("doc_id", "lone", "text_crc32", F.lit("place")), F.lit(1 << 31))
-    placed = rows.withColumn("mixed", mixed).join(F.broadcast(cells), ["x", "y", "z"]).withColumn("part", F.shiftright(F.col("mixed") * F.col("ranges"), 31))
+    mixed = hash32(F.lit("place"), "doc_id", "lone", "text_crc32")
+    placed = rows.withColumn("mixed", mixed).join(F.broadcast(cells), ["x", "y", "z"]).withColumn("part", F.shiftright(F.col("mixed") * F.col("ranges"), 32))
     counts = placed.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("held"), F.first("first").alias("first"))
     in_cell = Window.partitionBy("curve").orderBy("part")
     begins = counts.select("curve", "part", (F.col("first") + F.sum("held").over(in_cell) - F.col("held")).alias("begin"))
@@ -119,3 +119,46 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS) -> DataFra
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_NAMES = ("a", "b", "c")
+
+
+def _curve_sql(source: str, bits: int = BITS) -> str:
+    """Common table expressions from ``source`` (columns a, b, c) to ``curves`` with its place on the curve: a step of ``hilbert_index`` each."""
+    steps, at = [], source
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i, own in enumerate(_NAMES):
+            changed = [f"CASE WHEN {own} & {q} <> 0 THEN xor(a, {q - 1}) ELSE xor(a, xor(a, {own}) & {q - 1}) END AS a"]
+            changed += [f"CASE WHEN {own} & {q} <> 0 THEN {own} ELSE xor({own}, xor(a, {own}) & {q - 1}) END AS {own}"] if i else []
+            steps.append(f"h{q}{own} AS (SELECT * REPLACE ({', '.join(changed)}) FROM {at})")
+            at = f"h{q}{own}"
+    gray = f"gray AS (SELECT * REPLACE (xor(a, b) AS b, xor(xor(a, b), c) AS c) FROM {at})"
+    flips = "0"
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        flips = f"xor({flips}, CASE WHEN c & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    place = " + ".join(f"(((xor({n}, {flips}) >> {b}) & 1) << {3 * b + 2 - i})" for b in range(bits) for i, n in enumerate(_NAMES))
+    return ", ".join([*steps, gray, f"curves AS (SELECT *, {place} AS curve FROM gray)"])
+
+
+def _oracle(shards: int = SHARDS, bits: int = BITS) -> str:
+    def bin_of(name: str) -> str:
+        hashed = HASH32_SQL.format(f"coalesce('=' || {name}, 'null')")
+        return f"{hashed} % {1 << bits}"
+
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+m AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {bin_of("source")} AS a, {bin_of("lang")} AS c,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM documents, t
+), d AS (SELECT *, least({(1 << bits) - 1}, greatest(0, floor(log2(size))::BIGINT - 4)) AS b FROM m),
+{_curve_sql("d", bits)},
+r AS (SELECT *, row_number() OVER (ORDER BY curve, {HASH32_SQL.format("'place|' || doc_id || '|' || text_crc32")}, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS n FROM curves),
+s AS (SELECT *, CASE WHEN rank < n % {shards} * (n // {shards} + 1) THEN rank // (n // {shards} + 1) ELSE n % {shards} + (rank - n % {shards} * (n // {shards} + 1)) // greatest(n // {shards}, 1) END AS shard FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY rank) - 1 AS slot, NULL::INTEGER AS grown_shard, curve::INTEGER AS curve FROM s
+"""
+
+
+ORACLE = _oracle()

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import HASH32_SQL, cut, hash32
 
 TOKENS = r"[^\x20\x09-\x0D]+"
 STEPS = 20
@@ -32,11 +32,6 @@ SALTS = 64
 SPREAD = 0.92  # default target: this part of the greatest entropy
 
 
-def _mixed(*parts: Column) -> Column:
-    """A uniform 32-bit number by hash; the same in any engine that has md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, its key, and tokens of each document."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
@@ -113,15 +108,15 @@ def temperature_mix(docs: DataFrame, *, target_entropy: float | None = None, spr
     plan = cut(plan.withColumns({"full": F.expr("quota div held") + nearly.cast("long"), "rest": F.when(nearly, 0).otherwise(F.expr("quota % held"))}))
     # A source may hold most rows: its plan is dealt to every salt, so that its rows spread over tasks.
     dealt = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    placed = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS))).join(dealt, ["key", "salt"]).drop("salt").withColumn("block", _mixed(F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % F.col("blocks"))
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS))).join(dealt, ["key", "salt"]).drop("salt").withColumn("block", hash32(F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % F.col("blocks"))
     blocks = placed.groupBy("key", "block", "full", "rest").agg(F.sum("tokens").alias("held"))
     passes = cut(blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))))
-    order = Window.partitionBy("key", "epoch").orderBy(_mixed(F.lit("order"), F.col("key"), F.col("epoch"), F.col("block")), "block")
+    order = Window.partitionBy("key", "epoch").orderBy(hash32(F.lit("order"), F.col("key"), F.col("epoch"), F.col("block")), "block")
     ranked = passes.withColumns({"block_rank": F.row_number().over(order) - 1, "before": F.sum("held").over(order) - F.col("held")})
     left = F.when(F.col("epoch") < F.col("full"), F.col("held")).otherwise(F.col("rest") - F.col("before"))
     ranked = cut(ranked.select("key", "block", "epoch", "block_rank", left.alias("left"), (left >= F.col("held")).alias("fits")).where("left > 0"))
     read = placed.select("doc_id", "source", "tokens", "key", "block").join(ranked, ["key", "block"])
-    inside = Window.partitionBy("key", "block", "epoch").orderBy(_mixed(F.lit("doc"), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key", "block", "epoch").orderBy(hash32(F.lit("doc"), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     partly = read.where("NOT fits AND tokens <= left").withColumn("upto", F.sum("tokens").over(inside)).where("upto <= left").drop("upto")
     names = ["doc_id", "source", "tokens", F.col("epoch").cast("int").alias("epoch"), "block", F.col("block_rank").cast("int").alias("block_rank")]
     return read.where("fits").select(*names).union(partly.select(*names))
@@ -144,7 +139,6 @@ def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 ORACLE = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS key, len(regexp_extract_all(coalesce(text, ''), '{TOKENS}')) AS tokens FROM documents
@@ -166,16 +160,16 @@ b AS (
 w AS (SELECT key, held, pow(held / total, a) AS raised, total FROM s, t, a),
 q AS (SELECT key, held, floor(round(raised / (SELECT sum(raised) FROM w) * total, 3))::BIGINT AS quota, ceil(held / greatest(16384, ceil(total / 65536)))::BIGINT AS blocks FROM w),
 n AS (SELECT *, 1000 * (held - quota % held) <= held AS nearly FROM q),
-c AS (SELECT d.*, quota // q.held + nearly::BIGINT AS whole_passes, CASE WHEN nearly THEN 0 ELSE quota % q.held END AS rest, {_H.format("'block|' || d.doc_id")} % blocks AS block FROM d JOIN n q USING (key)),
+c AS (SELECT d.*, quota // q.held + nearly::BIGINT AS whole_passes, CASE WHEN nearly THEN 0 ELSE quota % q.held END AS rest, {HASH32_SQL.format("'block|' || d.doc_id")} % blocks AS block FROM d JOIN n q USING (key)),
 k AS (SELECT key, block, whole_passes, rest, sum(tokens)::BIGINT AS held FROM c GROUP BY ALL),
 e AS (SELECT *, unnest(range(0, whole_passes + 1)) AS epoch FROM k),
 r AS (
   SELECT *, row_number() OVER o - 1 AS block_rank, sum(held) OVER o - held AS before FROM e
-  WINDOW o AS (PARTITION BY key, epoch ORDER BY {_H.format("'order|' || key || '|' || epoch || '|' || block")}, block)
+  WINDOW o AS (PARTITION BY key, epoch ORDER BY {HASH32_SQL.format("'order|' || key || '|' || epoch || '|' || block")}, block)
 ), u AS (SELECT *, CASE WHEN epoch < whole_passes THEN held ELSE rest - before END AS room FROM r),
 z AS (
   SELECT c.doc_id, c.source, c.tokens, u.epoch, u.block, u.block_rank, u.held, u.room,
-    sum(c.tokens) OVER (PARTITION BY c.key, u.block, u.epoch ORDER BY {_H.format("'doc|' || u.epoch || '|' || c.doc_id")}, c.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    sum(c.tokens) OVER (PARTITION BY c.key, u.block, u.epoch ORDER BY {HASH32_SQL.format("'doc|' || u.epoch || '|' || c.doc_id")}, c.doc_id ROWS UNBOUNDED PRECEDING) AS upto
   FROM c JOIN u ON c.key = u.key AND c.block = u.block WHERE room > 0 AND (room >= held OR c.tokens <= room)
 )
 SELECT doc_id, source, tokens, epoch::INTEGER AS epoch, block, block_rank::INTEGER AS block_rank FROM z WHERE room >= held OR upto <= room

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, minhash, mixing, quality
+from tessera.llm import embedding_dedup, hilbert, minhash, mixing, quality
 from tessera.llm.embedding_dedup import op7_spherical_cells
 from tessera.llm.hilbert import op5_hilbert_shards
 from tessera.llm.language import op8_ftrl_language
@@ -32,5 +32,6 @@ ORACLES: dict[str, str] = {
     "rule_ablations": quality.ABLATIONS_ORACLE,
     "op3_temperature_mix": mixing.ORACLE,
     "op4_coordinate_join": minhash.ORACLE,
+    "op5_hilbert_shards": hilbert.ORACLE,
     "op7_spherical_cells": embedding_dedup.ORACLE,
 }

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -69,22 +70,19 @@ def curve_place(x, y, z, bits=4):
 
 def test_shards_against_brute_force(docs):
     """Every document's shard and slot from a sort of all documents."""
-    import xxhash
+    def hashed(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
-    def chained(*values):
-        seed = 42
-        for v in values:
-            if v is not None:
-                seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=seed).intdigest()
-        return seed - (1 << 64) if seed >> 63 else seed
+    def bin_of(value):
+        return hashed("null" if value is None else "=" + value) % 16
 
     rows = [(i, None if i % 50 == 0 else "é" * (i * 7 % 300), ("en", "fr", None)[i % 3], "hot" if i < 500 else f"s{i % 13}") for i in range(800)]
     order = []
     for i, t, lang, source in rows:
         raw = (t or "").encode()
         size, crc = len(raw) + 8, zlib.crc32(raw)
-        place = curve_place(chained(source) % 16, min(15, max(0, math.floor(math.log2(size)) - 4)), chained(lang) % 16)
-        order.append((place, chained(i, crc, "place") % (1 << 31), i, size, crc))
+        place = curve_place(bin_of(source), min(15, max(0, math.floor(math.log2(size)) - 4)), bin_of(lang))
+        order.append((place, hashed("place", i, crc), i, size, crc))
     want, at = {}, 0
     order.sort()
     for shard in range(24):
