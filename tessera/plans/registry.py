@@ -63,17 +63,20 @@ def _words(c: str) -> str:
     return _WORDS.format(c)
 
 
-_BM25 = f"""
-d AS (SELECT doc_id AS id, text, {_tokens('text')} AS toks FROM documents),
+_BM25_OF = f"""
+d AS (SELECT doc_id AS id, text, @TOKENS AS toks FROM documents),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM d) GROUP BY ALL),
 c AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
 s AS (SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, c GROUP BY term, n),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(@TOKENS) AS term FROM benchmark) GROUP BY ALL),
 b AS (
   SELECT query_id, p.id, round(sum(times * idf * tf * ({DEFAULTS.bm25_k1} + 1) / (tf + {DEFAULTS.bm25_k1} * (1 - {DEFAULTS.bm25_b} + {DEFAULTS.bm25_b} * len(toks) / avgdl))), 9) AS score
   FROM q JOIN s USING (term) JOIN p USING (term) JOIN d ON d.id = p.id, c GROUP BY query_id, p.id
 ), lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)
 """
+_BM25 = _BM25_OF.replace("@TOKENS", _tokens("text"))
+_STEM = "CASE " + " ".join(f"WHEN length(t) >= {len(x) + 4} AND suffix(t, '{x}') THEN left(t, -{len(x)})" for x in fixed.SUFFIXES) + " ELSE t END"
+_STEMS = f"list_transform(list_transform({_tokens('text')}, lambda t: {_STEM}), lambda t: {_STEM})"
 _DENSE = """
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 cs AS (
@@ -240,7 +243,17 @@ def find_articles(spark, sf_dir):
     return found.select("doc_id", F.size("a").cast("long").alias("articles"), F.size(F.filter("a", lambda a: a["kind"] == "GEÇİCİ MADDE")).cast("long").alias("temporary"))
 
 
-@register()
+@register(rf"""
+WITH a AS (
+  SELECT doc_id, source, 0 AS n, NULL AS ref, 'ELEKTRİK PİYASASI ' || upper(source) || ' YÖNETMELİĞİ Kanun No: ' || (1000 + doc_id % 9000) || ' Yayımlandığı Resmî Gazete Tarih: ' || (1 + doc_id % 28) || '/3/2001 Sayı: ' || (24000 + doc_id % 1000) AS body FROM documents
+  UNION ALL
+  SELECT doc_id, source, i AS n, ref, trim(ref || ' – ' || line, ' ' || chr(9) || chr(10) || chr(13)) AS body
+  FROM (SELECT doc_id, source, line, i, CASE WHEN i % 5 = 4 THEN 'GEÇİCİ MADDE ' ELSE 'MADDE ' END || i AS ref FROM (SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)))
+), w AS (SELECT *, {_words('body')} AS ws FROM a),
+o AS (SELECT *, ref IS NULL OR len(ws) > 256 AS cut, unnest(CASE WHEN len(ws) > 256 THEN range(0, (ceil((len(ws) - 256) / 231) * 231 + 1)::BIGINT, 231) ELSE [0] END) AS pos FROM w)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, pos) - 1)::INTEGER AS chunk_index, CASE WHEN cut THEN array_to_string(ws[pos + 1:pos + 256], ' ') ELSE body END AS text,
+  CASE WHEN ref IS NULL THEN 'preamble' WHEN cut THEN 'article-window' ELSE 'article' END AS strategy, ref AS article_ref, 'ELEKTRİK PİYASASI ' || upper(source) || ' YÖNETMELİĞİ' AS document_title,
+  NULL::INTEGER AS page_start, NULL::INTEGER AS page_end, 'no page model for this format' AS page_note, (2 * len(ws[pos + 1:pos + 256]))::INTEGER AS token_estimate FROM o""")
 def article_chunks(spark, sf_dir):
     docs = identity.identify(_statutes(spark, sf_dir)).withColumns({"page_note": F.lit(None).cast("string"), "pages": F.array(F.struct(F.lit(None).cast("int").alias("number"), F.col("text").alias("text")))})
     return chunking.chunk_documents(docs.select("doc_id", "title", "page_note", "pages"))
@@ -652,17 +665,19 @@ def off_domain_leaks(spark, sf_dir):
     return evaluate.leaks(_probes(spark, sf_dir), 0.7, 0.4).select("doc_id", "fused", "decision")
 
 
-@register(f"""
-WITH {_BM25}, g AS (SELECT item_id AS query_id, text[1:30] AS expected FROM benchmark),
+_RECALL = """, g AS (SELECT item_id AS query_id, text[1:30] AS expected FROM benchmark),
 h AS (SELECT g.query_id, min(rank) AS first FROM lex JOIN d USING (id) JOIN g USING (query_id) WHERE contains(d.text, expected) GROUP BY g.query_id)
-SELECT depth, count_if(first <= depth) AS found, count(*) AS total FROM g LEFT JOIN h USING (query_id), (SELECT unnest([10, 25, 50]) AS depth) GROUP BY depth""")
+SELECT depth, count_if(first <= depth) AS found, count(*) AS total FROM g LEFT JOIN h USING (query_id), (SELECT unnest([10, 25, 50]) AS depth) GROUP BY depth"""
+
+
+@register(f"WITH {_BM25} {_RECALL}")
 def recall_at_k(spark, sf_dir):
     hits = lexical.search(_texts(spark, sf_dir), _questions(spark, sf_dir), 50)
     labels = _questions(spark, sf_dir).select("query_id", F.substring("text", 1, 30).alias("expected"))
     return evaluate.recall_at(hits, labels, _texts(spark, sf_dir).select("id", F.col("text").alias("title")))
 
 
-@register()
+@register(f"WITH {_BM25_OF.replace('@TOKENS', _STEMS)} {_RECALL}")
 def recall_stemmed(spark, sf_dir):
     stemmed = F.transform(T.tokenize(F.col("text")), T.stem)
     index = lexical.build_index(_texts(spark, sf_dir), tokens=stemmed)
@@ -733,7 +748,15 @@ def strip_heading(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_leading_heading(raw)).alias("shown_md5"))
 
 
-@register()
+_COST = f"(floor(len({_WORDS}) * {DEFAULTS.measured_tokens_per_word}::DOUBLE) + 1)"
+
+
+@register(rf"""
+WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text || ' ', '[\s\x0b\x1c-\x1f\x85\p{{Z}}]{{2,}}', ' ', 'g'), ' ' || chr(10)) AS text FROM conversations),
+s AS (SELECT conv_id, turn, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', '\1' || chr(57344), 'g'), chr(57344)) AS l FROM t)),
+u AS (SELECT *, sum({_COST.format('sentence')}) OVER (PARTITION BY conv_id, turn ORDER BY i) AS used FROM s),
+k AS (SELECT conv_id, turn, string_agg(sentence, ' ' ORDER BY i) FILTER (used <= {DEFAULTS.history_answer_tokens}) AS kept FROM u GROUP BY ALL)
+SELECT conv_id, turn, CASE WHEN {_COST.format('text')} <= {DEFAULTS.history_answer_tokens} THEN text ELSE coalesce(kept, rtrim(text[1:400], ' ' || chr(10)) || ' …') END AS recap FROM t JOIN k USING (conv_id, turn)""")
 def condensed_answers(spark, sf_dir):
     """Messages as a recap would show them: whole sentences of at most 120 tokens."""
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", conversation.condense(F.concat(F.col("text"), F.lit(" [KAYNAK 1]"))).alias("recap"))
