@@ -47,10 +47,10 @@ def hashing_embedder(dim: int = 64) -> Embed:
 
 
 def echo_generator(prompts: list[str]) -> list[str]:
-    """Answers with the first line after the first source label, and cites it."""
+    """Answers with the first line of the first source, and cites it.  Earlier labels are those of the worked example."""
     out = []
     for p in prompts:
-        head, found, rest = p.partition(f"{fixed.LABEL_WORD} 1:\n")
+        _, found, rest = p.rpartition(f"{fixed.LABEL_WORD} 1:\n")
         out.append(f"{rest.splitlines()[0].strip()} ({fixed.LABEL_WORD} 1)." if found and rest.strip() else "")
     return out
 

@@ -776,13 +776,35 @@ def answer_states(spark, sf_dir):
     return rows.select("query_id", "decision", "low_confidence", (F.col("status") == "not_found").alias("refused"))
 
 
-@register()
+_PROMPTS = answer.DEFAULT
+_HEAD = "\n\n".join((_PROMPTS.system, _PROMPTS.example_user, _PROMPTS.example_answer)).replace("\n", "' || chr(10) || '")
+_ASK = f"'SORU: ' || text || chr(10) || chr(10) || '{_PROMPTS.instruction}'"
+
+
+@register(rf"""
+WITH {_JUDGED},
+g AS (SELECT query_id, text AS question, {_ASK} AS ask, confidence, {_GATE.format('confidence', DEFAULTS.fused_threshold, DEFAULTS.fused_floor)} AS decision FROM judged JOIN benchmark ON item_id = query_id),
+sb AS (
+  SELECT query_id, id, rank, 'KAYNAK ' || rank || ':' || chr(10) || trim(regexp_replace(CASE WHEN length(source) > 3 THEN regexp_replace(text, '(?i)' || source, '[…]', 'g') ELSE text END, '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS block
+  FROM fused JOIN (SELECT doc_id AS id, source, text FROM documents) USING (id)
+), fit AS (
+  SELECT * FROM (SELECT *, sum({_COST.format('block')} + {DEFAULTS.tokens_per_message}) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM sb) JOIN g USING (query_id)
+  WHERE decision <> 'NOT_FOUND' AND used <= {DEFAULTS.context_budget - answer.preamble_cost()} - {_COST.format('ask')} - {DEFAULTS.tokens_per_message}
+), asked AS (
+  SELECT query_id, count(*) AS kept, arg_min(id, rank) AS cited, arg_min(block, rank) AS first, '{_HEAD}' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || any_value(ask) AS prompt FROM fit GROUP BY query_id
+), held AS (SELECT query_id, count(*) AS retrieved FROM sb GROUP BY query_id)
+SELECT query_id, decision, confidence, CASE WHEN decision = 'NOT_FOUND' THEN 'not_found' WHEN prompt IS NULL THEN 'context_exhausted' ELSE 'generated' END AS status,
+  CASE WHEN decision = 'NOT_FOUND' THEN '{_PROMPTS.not_found}' WHEN prompt IS NULL THEN '{_PROMPTS.context_exhausted}' ELSE trim(string_split(first, chr(10))[2]) || ' (KAYNAK 1).' END AS text,
+  decision = 'ANSWER_WEAK' AS low_confidence, CASE WHEN prompt IS NULL THEN '' ELSE '1' END AS labels, coalesce(cited::VARCHAR, '') AS citations, '' AS hallucinated_labels,
+  coalesce(retrieved, 0) AS chunks_retrieved, coalesce(retrieved, 0) - coalesce(kept, 0) AS chunks_dropped, {_COST.format('prompt')}::INTEGER AS prompt_tokens
+FROM g LEFT JOIN asked USING (query_id) LEFT JOIN held USING (query_id)""")
 def answers(spark, sf_dir):
-    """Retrieval, gate, budget, generation stand-in and citations for every question."""
+    """Retrieval, gate, budget, generation stand-in and citations for every question; lists as text."""
     index, texts, vectors, queries = _parts(spark, sf_dir)
     fused, judged = fusion.answerable(index, texts, vectors, queries)
     meta = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("document_title"), F.lit(None).cast("string").alias("article_ref"))
-    return answer.answer_all(queries.drop("embedding"), judged, fused.select("query_id", "id", "rank").join(meta, "id"), services.echo_generator)
+    rows = answer.answer_all(queries.drop("embedding"), judged, fused.select("query_id", "id", "rank").join(meta, "id"), services.echo_generator)
+    return rows.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("labels", "citations", "hallucinated_labels")})
 
 
 @register("SELECT doc_id, 64 AS size, true AS same FROM documents")

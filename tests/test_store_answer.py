@@ -193,3 +193,8 @@ def test_pipelines(spark, tmp_path):
     again = pipelines.reprocess(current, docs, spark.createDataFrame([("p/1",), ("p/none",)], "source_path string"), embed)
     assert again.where("active").count() == current.where("active").count()
     assert pipelines.reprocess(current, docs.limit(0), spark.createDataFrame([("p/1",)], "source_path string"), embed).count() == 0
+
+
+def test_stand_in_generator_answers_from_the_first_source_not_from_the_example():
+    head = f"{answer.DEFAULT.example_user}\n\n{answer.DEFAULT.example_answer}"
+    assert services.echo_generator([f"{head}\n\nKAYNAK 1:\nBedel ödenir.\nSonra.\n\nKAYNAK 2:\nx\n\nSORU: y", "no source"]) == ["Bedel ödenir. (KAYNAK 1).", ""]
