@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,7 @@ def reprocess(current: DataFrame, extracted: DataFrame, paths: DataFrame, embed:
 
 
 Ready = tuple[DataFrame, lexical.Index]
+T = TypeVar("T")
 
 
 def prepare(current: DataFrame, params: Params = DEFAULTS) -> Ready:
@@ -62,6 +67,26 @@ def ask(current: DataFrame, queries: DataFrame, embed: services.Embed, generate:
     return answer.answer_all(queries, judged, results, generate, params=params)
 
 
+def ask_timed(current: DataFrame, queries: DataFrame, embed: services.Embed, generate: services.Generate, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(answers as ``ask`` gives them, timings: stage, seconds).  Plans are lazy, so each stage is written before the next starts:
+    embed (queries), index, retrieve (both rankers, fusion, gate), generate (prompts, model, citations), and total.  One row a stage of the whole batch."""
+    began = time.perf_counter()
+    took: list[tuple[str, float]] = []
+
+    def timed(stage: str, make: Callable[[], T]) -> T:
+        start = time.perf_counter()
+        out = make()
+        took.append((stage, time.perf_counter() - start))
+        return out
+
+    asked = timed("embed", lambda: tables.settle(queries.withColumn("embedding", services.embed(F.col("text"), embed, params))))
+    ready = timed("index", lambda: prepare(current, params))
+    results, judged = timed("retrieve", lambda: tuple(tables.settle(part) for part in retrieve(current, asked, None, params, ready)))
+    answers = timed("generate", lambda: tables.settle(answer.answer_all(asked.drop("embedding"), judged, results, generate, params=params)))
+    took.append(("total", time.perf_counter() - began))
+    return answers, current.sparkSession.createDataFrame(took, "stage string, seconds double")
+
+
 def probe(current: DataFrame, questions: DataFrame, embed: services.Embed, params: Params = DEFAULTS) -> DataFrame:
     """query_id, answerable, fused, fused_folded, dense, dense_folded, coverage, top: every question scored on both paths, as typed and folded.
 

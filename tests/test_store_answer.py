@@ -155,6 +155,10 @@ def test_pipelines(spark, tmp_path):
     found = tables.settle(found)
     rows = {r.query_id: r for r in found.collect()}
     assert rows[0].status == "generated" and len(rows[0].citations) == 1 and rows[1].decision == "NOT_FOUND"
+    again, timings = pipelines.ask_timed(current, spark.createDataFrame([(0, "önlisans süresi yirmi dört aydır"), (1, "rafineri stok")], "query_id long, text string"), embed, services.echo_generator)
+    assert sorted(again.collect()) == sorted(found.collect())
+    spent = {r.stage: r.seconds for r in timings.collect()}
+    assert list(spent) == ["embed", "index", "retrieve", "generate", "total"] and 0 < sum(spent.values()) - spent["total"] <= spent["total"]
     turns = spark.createDataFrame([(7, 1, "önlisans süresi ne kadardır bana anlat", "yirmi dört ay"), (7, 2, "peki bu süre?", None)], "conv_id long, exchange int, question string, answer string")
     talked = pipelines.converse(current, turns, embed, lambda prompts: ["Önlisans süresi kaç aydır?"]).first()
     assert talked.was_follow_up and talked.rewritten_query == "Önlisans süresi kaç aydır?"
