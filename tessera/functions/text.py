@@ -195,6 +195,25 @@ def stem(token: Column) -> Column:
     return let(let(token, once), once)
 
 
+def stem_word(token: str) -> str:
+    """What ``stem`` gives, for one token in Python."""
+    for _ in range(2):
+        token = next((token[: -len(s)] for s in fixed.SUFFIXES if token.endswith(s) and len(token) >= len(s) + 4), token)
+    return token
+
+
+APART = "".join(map(chr, range(0xFDD0, 0xFDF0)))  # code points that never stand for a character
+
+
+def guard(c: Column, chars: str) -> Column:
+    """The text with each of these characters (32 at most) as one that no rule knows; ``unguard`` turns it back."""
+    return F.translate(c, chars, APART[: len(chars)])
+
+
+def unguard(c: Column, chars: str) -> Column:
+    return F.translate(c, APART[: len(chars)], chars)
+
+
 def strip_labels(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, fixed.LABEL_MENTION, ""), rf"{U}{WS}{{2,}}", " "))
 

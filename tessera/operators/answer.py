@@ -15,6 +15,7 @@ from tessera import fixed
 from tessera.functions.text import count_tokens, strip, strip_leading_heading, strip_thinking
 from tessera.operators import services
 from tessera.params import DEFAULTS, Params
+from tessera.sources import tables
 
 
 @dataclass(frozen=True)
@@ -118,6 +119,7 @@ def answer_all(queries: DataFrame, judged: DataFrame, results: DataFrame, genera
 
     queries: query_id, text, history (optional); judged: query_id, confidence, decision; results: query_id, id, rank,
     text and metadata.  The model sees only prompts of queries that pass the gate and have a source that fits."""
+    results = tables.settle(results)  # a few rows a query, which several plans start from
     asked = queries.join(judged.select("query_id", "confidence", "decision"), "query_id")
     history = F.col("history") if "history" in queries.columns else None
     budget = asked.where("decision <> 'NOT_FOUND'").select("query_id", available_tokens(F.col("text"), history, prompts, params).alias("available"))

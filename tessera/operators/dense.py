@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.operators.lexical import DIGITS, top_k
 from tessera.params import DEFAULTS, Params
+from tessera.sources import tables
 
 QUERIES_AT_ONCE = 4096
+MOST_HITS = 1 << 19
 
 
 def norm(v: Column) -> Column:
@@ -39,8 +42,8 @@ def checked(vectors: DataFrame, params: Params = DEFAULTS, *, column: str = "emb
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, params: Params = DEFAULTS, *, id_col: str = "id") -> DataFrame:
     """query_id, id, score, rank: the k best vectors of each query by brute force.
 
-    Queries, a stated set, go in blocks of QUERIES_AT_ONCE as a matrix; each Arrow batch
-    of vectors is multiplied with it and leaves at most k rows a query for the final ranking.
+    Queries, a stated set, go in blocks of QUERIES_AT_ONCE as a matrix; vectors are multiplied with it a few at a time, so that a task
+    holds about MOST_CELLS cosines at once, and a task leaves at most k rows a query for the final ranking.
     Null vectors are left out; with k of 0 or less, or without queries, there is no row.
     """
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)[id_col]}, score double"
@@ -48,42 +51,55 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, params: Params =
         return top_k(vectors.sparkSession.createDataFrame([], schema), 0)
     rows = checked(vectors, params).where("embedding IS NOT NULL").select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = checked(queries, params).where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
     found, block = None, []
     for row in asked.toLocalIterator():
         block.append(row)
         if len(block) == QUERIES_AT_ONCE:
-            part, block = rows.mapInArrow(_scorer(block, k), schema), []
+            part, block = rows.mapInArrow(_scorer(block, query_type, k), schema), []
             found = part if found is None else found.unionByName(part)
     if block:
-        part = rows.mapInArrow(_scorer(block, k), schema)
+        part = rows.mapInArrow(_scorer(block, query_type, k), schema)
         found = part if found is None else found.unionByName(part)
     return top_k(found if found is not None else rows.sparkSession.createDataFrame([], schema), k)
 
 
-def _scorer(block: list, k: int):
+def _scorer(block: list, query_type, k: int):
     import numpy as np
-    import pyarrow as pa
+
+    from tessera.functions.batches import MOST_CELLS, Best
+
+    def units(matrix):
+        sizes = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, sizes, out=np.zeros_like(matrix), where=np.isfinite(sizes) & (sizes > 0))
 
     names = [r["query_id"] for r in block]
-    matrix = np.array([r["embedding"] for r in block], np.float64).reshape(len(block), -1)
-    sizes = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, sizes, out=np.zeros_like(matrix), where=sizes > 0)
+    matrix = units(np.array([r["embedding"] for r in block], np.float64).reshape(len(block), -1))
+    most_rows = max(1, MOST_CELLS // len(block))
 
     def run(batches):
+        best, id_type = Best(len(names), k), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            lengths = np.linalg.norm(flat, axis=1, keepdims=True)
-            flat = np.divide(flat, lengths, out=np.zeros_like(flat), where=lengths > 0)
-            scores = np.round(flat @ matrix.T, DIGITS) + 0.0
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            best = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), len(best))), pa.array(ids[best].T.ravel()), pa.array(np.take_along_axis(scores, best, axis=0).T.ravel())], names=["query_id", "id", "score"])
+            id_type = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, most_rows):
+                part = batch.slice(at, most_rows)
+                flat = units(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
+                scores = flat @ matrix.T
+                if len(scores) >= k and not np.isfinite(best.floor).all():
+                    best.floor = np.maximum(best.floor, np.round(np.partition(scores, len(scores) - k, axis=0)[len(scores) - k], DIGITS))
+                row, query = np.nonzero(scores >= best.floor - 2 * 10.0**-DIGITS)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                best.add(query, ids[row], np.round(scores[row, query], DIGITS) + 0.0)
+        if id_type is not None:
+            yield from best.batches(names, query_type, id_type)
 
     return run
 
 
 def hydrate(hits: DataFrame, metadata: DataFrame, *, id_col: str = "id") -> DataFrame:
-    """Metadata of the hits only, joined after ranking; hits whose row is gone are skipped."""
-    return hits.join(metadata.withColumnRenamed(id_col, "id") if id_col != "id" else metadata, "id")
+    """Metadata of the hits only, joined after ranking; hits whose row is gone are skipped.
+
+    Hits are written first.  Up to MOST_HITS of them go to the rows of the metadata, so that texts of others never move."""
+    hits = tables.settle(hits)
+    meta = metadata.withColumnRenamed(id_col, "id") if id_col != "id" else metadata
+    return (F.broadcast(hits) if hits.count() <= MOST_HITS else hits).join(meta, "id")

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dense import hydrate
 from tessera.operators.fusion import classify
 from tessera.operators.lexical import DIGITS
 
 BUCKETS = 1024
 
 
+def half_up(c: Column) -> Column:
+    """Rounded to DIGITS by the product, as the mean of two rounded numbers often lies halfway between two others."""
+    return F.round(c * 10**DIGITS) / 10**DIGITS
+
+
 def separation(scores: DataFrame) -> DataFrame:
     """cutoff, tpr, fpr, j of every observed score.  scores: score, positive.
 
@@ -56,7 +62,7 @@ def gate_signals(fused: DataFrame, weights: DataFrame, coverage: DataFrame) -> D
     tops = fused.groupBy("query_id").agg(F.coalesce(first, F.max(F.coalesce("dense_score", F.lit(0.0)))).alias("d"), F.max(F.coalesce("lexical_score", F.lit(0.0))).alias("x"))
     rows = weights.join(tops, "query_id", "left").join(coverage, "query_id", "left").withColumns({"d": F.coalesce("d", F.lit(0.0)), "c": F.coalesce("coverage", F.lit(0.0)), "l": F.when((F.col("total") > 0) & F.col("x").isNotNull(), F.col("x") / F.col("total")).otherwise(0.0)})
     c = F.when(F.col("x").isNull(), 0.0).otherwise(F.col("c"))
-    return rows.select("query_id", F.col("d").alias("dense_top1"), F.round("l", DIGITS).alias("lexical_norm"), F.round(c, DIGITS).alias("coverage_topk"), F.round(F.col("d") * c, DIGITS).alias("dense_x_coverage"), F.round(F.col("d") * F.col("l"), DIGITS).alias("dense_x_lexnorm"), F.round((F.col("d") + c) / 2, DIGITS).alias("mean_dense_cov"))
+    return rows.select("query_id", F.col("d").alias("dense_top1"), F.round("l", DIGITS).alias("lexical_norm"), F.round(c, DIGITS).alias("coverage_topk"), F.round(F.col("d") * c, DIGITS).alias("dense_x_coverage"), F.round(F.col("d") * F.col("l"), DIGITS).alias("dense_x_lexnorm"), half_up((F.col("d") + c) / 2).alias("mean_dense_cov"))
 
 
 def gate_report(probes: DataFrame, threshold: float, floor: float) -> DataFrame:
@@ -117,7 +123,7 @@ def recall_at(hits: DataFrame, labels: DataFrame, titles: DataFrame, depths: tup
     """depth, found, total: queries with a hit of that depth whose title contains what was expected.
 
     hits: query_id, id, rank; labels: query_id, expected; titles: id, title."""
-    good = hits.join(titles, "id").join(labels, "query_id").where(F.contains("title", "expected")).groupBy("query_id").agg(F.min("rank").alias("first"))
+    good = hydrate(hits.join(labels, "query_id"), titles).where(F.contains("title", "expected")).groupBy("query_id").agg(F.min("rank").alias("first"))
     rows = labels.join(good, "query_id", "left").select(F.explode(F.array(*map(F.lit, depths))).alias("depth"), "first")
     return rows.groupBy("depth").agg(F.count_if(F.col("first") <= F.col("depth")).alias("found"), F.count(F.lit(1)).alias("total"))
 

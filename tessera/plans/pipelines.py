@@ -58,7 +58,7 @@ def retrieve(current: DataFrame, queries: DataFrame, embed: services.Embed | Non
     rows, index = ready or prepare(current, params)
     asked = queries if embed is None else queries.withColumn("embedding", services.embed(F.col("text"), embed, params))
     fused, judged = fusion.answerable(index, rows, rows.select("id", "embedding"), asked, params)
-    return fused.join(store.metadata(current), "id"), judged
+    return dense.hydrate(fused, store.metadata(current)), judged
 
 
 def ask(current: DataFrame, queries: DataFrame, embed: services.Embed, generate: services.Generate, params: Params = DEFAULTS, ready: Ready | None = None) -> DataFrame:
