@@ -157,9 +157,30 @@ def strip_leading_heading(c: Column) -> Column:
 
 
 def slugify(c: Column, most: int = 100) -> Column:
-    c = F.lower(strip(F.regexp_replace(ascii_only(c), r"[^A-Za-z0-9_\s-]", "")))
-    c = F.substring(F.regexp_replace(c, r"[-\s]+", "-"), 1, most)
-    return F.coalesce(F.nullif(F.regexp_replace(c, r"^-+|-+$", ""), F.lit("")), F.lit("belge"))
+    """ASCII letters and digits, hyphens between; its first ``most`` characters.  A text is read in parts, and only as far as they go."""
+
+    def run(column):
+        import re
+        import unicodedata
+
+        import pyarrow as pa
+
+        other, gap, space = re.compile(r"[^A-Za-z0-9_ \t\n\x0b\x0c\r-]"), re.compile(r"[- \t\n\x0b\x0c\r]+"), " \t\n\x0b\x0c\r"
+        part = 4 * most
+
+        def slug(text: str) -> str:
+            out = ""
+            for at in range(0, len(text), part):
+                # A decomposition only reorders marks, which aren't ASCII, so that parts can be decomposed alone.
+                piece = other.sub("", unicodedata.normalize("NFKD", text[at : at + part]).encode("ascii", "ignore").decode())
+                out = gap.sub("-", (out + piece) if out else piece.lstrip(space))
+                if len(out) > most:
+                    return out[:most].lower().strip("-")
+            return gap.sub("-", out.rstrip(space)).lower()[:most].strip("-")
+
+        return pa.array((None if not t.is_valid else slug(t.as_py()) for t in column), pa.string())
+
+    return F.coalesce(F.nullif(F.arrow_udf(run, "string")(c), F.lit("")), F.lit("belge"))
 
 
 def category_slug(href: Column, categories: tuple[str, ...]) -> Column:
