@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.text import count_tokens, strip, strip_leading_heading, strip_thinking
+from tessera.functions.text import count_tokens, let, strip, strip_leading_heading, strip_thinking
 from tessera.operators import services
 from tessera.params import DEFAULTS, Params
 from tessera.sources import tables
@@ -36,6 +36,24 @@ class Prompts:
 DEFAULT = Prompts()
 
 
+# What a match of the pattern that holds the first string begins with, in any case that it matches: signs passed over quickly.
+_HEADS = {"(?:MADDE|Madde|madde)": "GEMm", "(?:No|Numaras": "KkYyTtSs\u212a\u017f", r"Söz\s+konusu": "BAİIS"}
+
+
+def _scrubbed(text: Column, pattern: str) -> Column:
+    head = next((h for sign, h in _HEADS.items() if sign in pattern), None)
+    if head is not None:
+        flags, rest = pattern.split(")", 1)
+        pattern = f"{flags})(?-i:(?=[{head}]))(?:{rest})"
+
+    def done(t: Column) -> Column:
+        return F.regexp_replace(t, pattern, fixed.REDACTED)
+
+    if pattern.endswith(r"\s+madde\w*"):
+        return let(text, lambda t: F.when(F.contains(F.lower(t), F.lit("madde")), done(t)).otherwise(t))
+    return done(text)
+
+
 def scrub_context(text: Column, terms: Column | None = None) -> Column:
     """The text without citable identifiers: literal terms (over 3 characters, longest first), then the fixed patterns in order."""
     if terms is not None:
@@ -44,7 +62,7 @@ def scrub_context(text: Column, terms: Column | None = None) -> Column:
         quoted = F.transform(longest, lambda t: F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}])", r"\\$1"))
         text = F.aggregate(quoted, text, lambda a, t: F.regexp_replace(a, F.concat(F.lit("(?iu)"), t), F.lit(fixed.REDACTED)))
     for pattern in fixed.SCRUB:
-        text = F.regexp_replace(text, pattern, fixed.REDACTED)
+        text = _scrubbed(text, pattern)
     text = F.regexp_replace(F.regexp_replace(text, fixed.SCRUB_RUN, f"{fixed.REDACTED} "), fixed.SCRUB_SPACE, " ")
     return strip(text)
 

@@ -120,3 +120,15 @@ def test_answers_hide_source_names_only(spark, tmp_path):
     theirs = con.execute(registry.ORACLES["answers"])
     at = {d[0]: i for i, d in enumerate(theirs.description)}
     assert sorted((r.query_id, r.text, r.citations) for r in got.collect()) == sorted((r[at["query_id"]], r[at["text"]], r[at["citations"]]) for r in theirs.fetchall())
+
+
+def test_scrub_patterns_match_the_same_behind_their_first_signs(spark, one):
+    from tessera.operators import answer
+
+    kinds = ["MADDE 6", "geçici 3 üncü MADDE", "Ek Madde 5/A", "ek 4 ncı maddesi", "GEÇİCİ MADDE 2", "BİRİNCİ Madde", "ikinci maddede", "kanun no: 5", "Kanun No 7", "SAYI NUMARASI 3", "ſayı no 9", "Tebliğ No 12", "Bu Kanun", "İlgili Yönetmelik", "Söz konusu Tebliğ", "Aynı Karar", "madde", "no 4", "6446 sayılı", "24/2/2017", "x"]
+    rows = spark.createDataFrame([(f"a {x} {y}. b",) for x in kinds for y in kinds] + [(None,)], "t string")
+    plain = F.col("t")
+    for pattern in fixed.SCRUB:
+        plain = F.regexp_replace(plain, pattern, fixed.REDACTED)
+    plain = T.strip(F.regexp_replace(F.regexp_replace(plain, fixed.SCRUB_RUN, f"{fixed.REDACTED} "), fixed.SCRUB_SPACE, " "))
+    assert rows.where(~answer.scrub_context(F.col("t")).eqNullSafe(plain)).count() == 0
