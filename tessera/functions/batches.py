@@ -4,6 +4,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +27,9 @@ _PAIR = np.zeros(1 << 16, np.uint8)
 for _c, _to in zip(fixed.FOLD_FROM, fixed.FOLD_TO, strict=True):
     _PAIR[int.from_bytes(_c.encode(), "big")] = ord(_to.lower())
 _STOP = pa.array(sorted(fixed.STOP_WORDS))
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def pieces(column: pa.Array, rows: int = 1 << 30) -> Iterator[tuple[int, pa.Array]]:
@@ -98,6 +104,49 @@ class Places:
         return pc.fill_null(pc.index_in(tokens, value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def words_of(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``str.split`` gives, without a string for each word: UTF-8 with 16 bytes or more behind the last word, where each word begins and ends, its text."""
+    coded = [(t if t.isascii() or not _WIDE_SPACE.search(t) else " ".join(t.split())).encode() for t in texts]
+    data = b" ".join(coded) + b" " * 17
+    edges = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)], prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    at = np.cumsum([0, *(len(t) + 1 for t in coded)])
+    return data, starts, ends, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, at)))
+
+
+class WordHashes:
+    """blake2b of words, 64 bits each.  A word of at most 15 bytes is remembered at one of ``1 << bits`` places, until another takes it."""
+
+    def __init__(self, bits: int = 18):
+        # A key is a word's bytes and its length, so that no two words share one; 0 is none.
+        self.bits, (self.low, self.high, self.hash) = bits, np.zeros((3, 1 << bits), np.uint64)
+
+    def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = ends - starts
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        low, high = eight[starts] & _FIRST[np.minimum(sizes, 8)], eight[starts + 8] & _FIRST[np.clip(sizes - 8, 0, 7)]
+        high |= np.minimum(sizes, 16).astype(np.uint64) << np.uint64(56)
+        mixed = ((low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
+        place = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.hash[place]
+        new = np.flatnonzero((self.low[place] != low) | (self.high[place] != high) | (sizes > 15))
+        if len(new):
+            out[new] = np.frombuffer(b"".join(hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)), "<u8")
+            short = new[sizes[new] <= 15]
+            taken, first = np.unique(place[short], return_index=True)
+            self.low[taken], self.high[taken], self.hash[taken] = low[short[first]], high[short[first]], out[short[first]]
+        return out
+
+
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # of eight bytes
+
+
+@functools.cache
+def word_hashes() -> WordHashes:
+    """One a process, for all that it embeds."""
+    return WordHashes()
+
+
 def sortable(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
 

@@ -4,7 +4,6 @@ Both run as Arrow functions over batches, retry with growing pauses, and never r
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable
 
@@ -34,14 +33,14 @@ def hashing_embedder(dim: int = 64) -> Embed:
     """Signed hashed words; equal texts have equal vectors, texts with shared words are close."""
 
     def run(texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * dim
-            for w in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            out.append(v)
-        return out
+        import numpy as np
+
+        from tessera.functions.batches import word_hashes, words_of
+
+        data, starts, ends, rows = words_of([text.lower() for text in texts])
+        h = word_hashes()(data, starts, ends)
+        cell = rows * dim + (h % np.uint64(dim)).astype(np.int64)
+        return np.bincount(cell, np.where(h >> np.uint64(63), 1.0, -1.0), minlength=dim * len(texts)).reshape(-1, dim).tolist()
 
     return run
 

@@ -1,5 +1,6 @@
 """Passes over whole batches of text against the columns they stand for, and plans that must not move texts or tokens."""
 
+import hashlib
 import os
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.functions import batches
 from tessera.functions import text as T
-from tessera.operators import dense, evaluate, lexical
+from tessera.operators import dense, evaluate, lexical, services
 from tessera.plans import registry
 
 ODD = ["", None, " lead and tail ", "\n\nlead", "\ttab\t", "a <think> b </think> c", "  ", "x" * 300, "é ü - _ ı İ", "on 55.63.178.142 we 24/2/2017 met\nsecond", "KAYNAK 1:\nno\r\nyes", "你 好", " - a -- b - ", "a " * 400, "- " * 90 + "z"]
@@ -97,6 +98,37 @@ def test_mean_of_rounded_numbers_rounds_half_up(one):
     assert one(evaluate.half_up((F.col("d") + F.col("c")) / 2), d=0.348618561, c=1.0) == 0.674309281
 
 
+def plain_vector(text, dim):
+    v = [0.0] * dim
+    for w in text.lower().split():
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        v[h % dim] += 1.0 if h >> 63 else -1.0
+    return v
+
+
+def test_embedded_words_of_every_sign():
+    signs = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["", " ", "x", "İI a\x00 a a\x00\x00 \x00", *(f"{'q' * n} {'ü' * n} {'q' * n}" for n in range(1, 20)), *("q" + "q q".join(signs[at : at + 997]) for at in range(0, len(signs), 997)), "\u3000a\u2028b\x1c", "tail"]
+    for dim in (1, 7, 64):
+        want = [plain_vector(t, dim) for t in texts]
+        assert services.hashing_embedder(dim)(texts) == want
+        assert [services.hashing_embedder(dim)([t])[0] for t in texts] == want
+    few = batches.WordHashes(2)  # places that words take from each other
+    data, starts, ends, _ = batches.words_of(texts)
+    want = [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little") for a, b in zip(starts, ends, strict=True)]
+    assert few(data, starts, ends).tolist() == want and few(data, starts, ends).tolist() == want
+    assert services.hashing_embedder(8)([]) == []
+
+
+def test_embedder_hashes_a_word_once(monkeypatch):
+    hashed, real = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda *a, **k: hashed.append(a) or real(*a, **k))
+    batches.word_hashes.cache_clear()
+    for _ in range(50):
+        services.hashing_embedder(8)(["the same words again", "again the words"])
+    assert len(hashed) <= 20  # four words; those of one call aren't told apart
+
+
 @pytest.mark.parametrize("name", ["strip_thinking", "slugs"])
 def test_odd_texts_against_sql(spark, tmp_path, name):
     rows = [(i * 4 + k, t) for i, t in enumerate(ODD) for k in range(4)]
