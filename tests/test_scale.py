@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -66,6 +67,28 @@ def test_cosines_leave_k_rows_a_task_in_small_blocks(spark, monkeypatch):
         assert [r["id"] for r in got.to_pylist() if r["query_id"] == q] == sorted(range(60), key=lambda i: (-round(float(m[i] @ m[q]), 9), i))[:5]
 
 
+def test_cosines_hold_a_part_of_a_batch(spark, monkeypatch):
+    """A task's memory follows neither the rows of a batch nor the number of batches."""
+    taken, rng = [], np.random.default_rng(2)
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(1500, 3)).tolist())], "query_id long, embedding array<float>")
+    real = type(asked).mapInArrow
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, f, *a, **k: taken.append(f) or real(self, f, *a, **k))
+    dense.cosine_topk(asked.withColumnRenamed("query_id", "id"), asked, 5)
+
+    def peak(n):
+        flat = pa.array(rng.normal(size=30_000))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 30_001, 3, np.int32)), flat)
+        tracemalloc.start()
+        for out in taken[0](pa.RecordBatch.from_arrays([pa.array(np.arange(10_000) + i * 10_000), vectors], names=["id", "embedding"]) for i in range(n)):
+            assert out.num_rows <= 1 << 16
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    few, many = peak(1), peak(6)
+    assert few < 64 * batches.MOST_CELLS and many < 1.5 * few
+
+
 def test_search_moves_no_tokens(spark):
     texts = spark.createDataFrame([(i, f"word{i % 7} other{i % 3} rest") for i in range(60)], "id long, text string")
     asked = spark.createDataFrame([("a", "word1 other2"), ("b", "rest rest")], "query_id string, text string")
