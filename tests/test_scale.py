@@ -187,3 +187,41 @@ def test_scrub_patterns_match_the_same_behind_their_first_signs(spark, one):
         plain = F.regexp_replace(plain, pattern, fixed.REDACTED)
     plain = T.strip(F.regexp_replace(F.regexp_replace(plain, fixed.SCRUB_RUN, f"{fixed.REDACTED} "), fixed.SCRUB_SPACE, " "))
     assert rows.where(~answer.scrub_context(F.col("t")).eqNullSafe(plain)).count() == 0
+
+
+MOVED = ["hybrid_answer"]
+
+
+@pytest.fixture(scope="module")
+def grown(spark, tmp_path_factory):
+    """The smallest tables, and their documents and vectors ten times with shifted keys; the questions once."""
+    roots = {}
+    for n in (1, 10):
+        roots[n] = tmp_path_factory.mktemp(f"times{n}")
+        for name, key in (("documents", "doc_id"), ("embeddings", "vec_id")):
+            rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").crossJoin(spark.range(n).withColumnRenamed("id", "copy"))
+            rows.withColumn(key, F.col(key) + F.col("copy") * 100_000).drop("copy").repartition(4, key).write.parquet(f"{roots[n]}/{name}.parquet")
+        (roots[n] / "benchmark.parquet").symlink_to("/root/testdata/sf0.001/benchmark.parquet")
+    return roots
+
+
+def moved(spark, run):
+    """Bytes that the stages of a run shuffle and spill."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        every = sc.statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {every.apply(i).stageId(): every.apply(i).shuffleWriteBytes() + every.apply(i).diskBytesSpilled() for i in range(every.size())}
+
+    before = stages()
+    run()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", MOVED)
+def test_retrieval_moves_a_small_part_of_added_texts(spark, grown, name):
+    few, many = (moved(spark, registry.QUERIES[name](spark, str(grown[n])).collect) for n in (1, 10))
+    added = spark.read.parquet(f"{grown[10]}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0] * 0.9
+    assert many - few < added / 10
