@@ -189,7 +189,7 @@ def test_scrub_patterns_match_the_same_behind_their_first_signs(spark, one):
     assert rows.where(~answer.scrub_context(F.col("t")).eqNullSafe(plain)).count() == 0
 
 
-MOVED = ["hybrid_answer", "gate_decision", "gate_signals", "budget_prefix", "rrf_many"]
+MOVED = ["hybrid_answer", "gate_decision", "gate_signals", "budget_prefix", "rrf_many", "answer_states"]
 
 
 @pytest.fixture(scope="module")
